@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontam, jaccard, lines, packing, pfor, sharding, token_counts, toxicity
+from cloakframe.llm import decontam, jaccard, lines, packing, pfor, sharding, token_counts, toxicity, winnow
 from cloakframe.llm.common import scratch_path, table
 from cloakframe.session import ship
 
@@ -39,6 +39,10 @@ def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(ship(spark), sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -68,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pfor_token_blocks, op2_toxicity_lexicon, op5_jaccard_components, op6_best_fit_packing, op7_line_dedup, op8_benchmark_decontamination, op9_stratified_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pfor_token_blocks, op2_toxicity_lexicon, op3_winnowing, op5_jaccard_components, op6_best_fit_packing, op7_line_dedup, op8_benchmark_decontamination, op9_stratified_shards, op10_token_counts)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
