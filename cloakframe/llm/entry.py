@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import decontam, jaccard, lines, packing, pfor, sharding, token_counts, toxicity, winnow
+from cloakframe.llm import bootstrap_pii, decontam, jaccard, lines, packing, pfor, sharding, token_counts, toxicity, winnow
 from cloakframe.llm.common import scratch_path, table
 from cloakframe.session import ship
 
@@ -43,6 +43,21 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bootstrap_pii.find_pii(table(ship(spark), sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+
+    own = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in bootstrap_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(ship(spark), sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -72,7 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pfor_token_blocks, op2_toxicity_lexicon, op3_winnowing, op5_jaccard_components, op6_best_fit_packing, op7_line_dedup, op8_benchmark_decontamination, op9_stratified_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pfor_token_blocks, op2_toxicity_lexicon, op3_winnowing, op4_bootstrapped_pii, op5_jaccard_components, op6_best_fit_packing, op7_line_dedup, op8_benchmark_decontamination, op9_stratified_shards, op10_token_counts)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
