@@ -58,7 +58,7 @@ LOOKALIKES = {
 }
 FOLD = str.maketrans({c: k for k, v in LOOKALIKES.items() for c in v} | dict.fromkeys("​‌‍⁠﻿­"))
 WORD = re.compile(r"[^\W\d_]+")
-LOOSE = re.compile(r"(?<![^\W_])[$@]+|[$@]+(?![^\W_])")
+LOOSE = re.compile(r"[$@]+(?![^\W_])")
 NUMBER = re.compile(r"(?<![^\W_])[\d.,:+-]*\d(?![^\W_])")
 
 
