@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf, udtf
 
 from cloakframe import kernel
 from cloakframe.functions import arrow, native
 from cloakframe.policy import Policy
-from cloakframe.types import TYPES
+from cloakframe.types import DETECTION, DETECTIONS, TYPES
 
 
 def with_detections(df: DataFrame, text: str = "text", out: str = "detections", types: Iterable[str] | None = None, strict: bool = True, anchored: bool = True, detectors: list | None = None) -> DataFrame:
@@ -44,13 +46,7 @@ def regulatory(df: DataFrame, pii_type: str = "pii_type") -> DataFrame:
 
 def register_sql(spark: SparkSession, policy: Policy | None = None) -> None:
     """detect_pii(text), redact_pii(text) and redact_pii_json(doc) for SQL, and detected_pii(text) as a table function."""
-    from pyspark.sql.functions import pandas_udf, udtf
-
     p, dets = policy or Policy(), kernel.built_in()
-    import pandas as pd
-
-    from cloakframe.types import DETECTION, DETECTIONS
-
     @pandas_udf(DETECTIONS)
     def detect_pii(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [f._asdict() for f in kernel.detect(dets, t, p.strict)])
