@@ -5,7 +5,7 @@ Java patterns carry (?U), so \\d, \\w, \\s and \\b follow Unicode. All places ar
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,12 +24,22 @@ def lit(x) -> Column:
     return F.lit(x)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value computed once: an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, original, before, after>> of the matches of a pattern that never matches nothing.
 
     Gaps (split) and matches alternate, so a running sum of their byte lengths gives every place.
     """
-    hits, gaps = F.regexp_extract_all(text, lit(pattern), lit(0)), F.split(text, pattern, -1)
+    both = F.struct(F.regexp_extract_all(text, lit(pattern), lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return let(both, _places)
+
+
+def _places(both: Column) -> Column:
+    hits, gaps = both["hits"], both["gaps"]
     parts = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), F.get(gaps, i + 1).alias("next"), F.coalesce(F.get(hits, i + 1), lit("")).alias("follows")))
     zero = F.struct(lit(0).alias("pos"), lit("").alias("last"), F.array().cast("array<struct<start:int,end:int,original:string,before:string,after:string>>").alias("out"))
 
@@ -264,7 +274,7 @@ def overlaps(d: Column, spans: Column) -> Column:
 def keep(policy: Policy, text: Column, detections: Column) -> Column:
     """Detections of enabled types that touch no allowed term."""
     on = F.filter(detections, lambda d: d["pii_type"].isin(*sorted(policy.enabled)) if policy.enabled else lit(False))
-    return F.filter(on, lambda d: ~overlaps(d, term_spans(text, policy.allowlist))) if policy.allowlist else on
+    return let(term_spans(text, policy.allowlist), lambda spans: F.filter(on, lambda d: ~overlaps(d, spans))) if policy.allowlist else on
 
 
 def redact(policy: Policy, text: Column, detections: Column) -> Column:
@@ -274,9 +284,9 @@ def redact(policy: Policy, text: Column, detections: Column) -> Column:
     if policy.blocklist:
         terms = term_spans(text, policy.blocklist)
         if policy.allowlist:
-            terms = F.filter(terms, lambda s: ~overlaps(s, term_spans(text, policy.allowlist)))
+            terms = let(F.struct(terms.alias("t"), term_spans(text, policy.allowlist).alias("a")), lambda x: F.filter(x["t"], lambda s: ~overlaps(s, x["a"])))
         spans = F.array_sort(F.concat(spans, F.transform(terms, lambda s, i: F.struct(s["start"].alias("start"), lit(1).alias("k"), i.alias("i"), s["end"].alias("end"), blocks(s["original"]).alias("form")))))
-    return F.when(F.size(spans) == 0, text).otherwise(splice(text, spans))
+    return let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(splice(text, s)))
 
 
 def mask_original(s: Column) -> Column:

@@ -212,6 +212,10 @@ def _address(text: str, strict: bool) -> Iterable[tuple[int, int]]:
                 break
 
 
+_DIGIT = re.compile(r"\d")
+_NEEDS: dict[str, Callable[[str], object]] = {"email": lambda t: "@" in t, "ip_address_v6": lambda t: ":" in t}
+
+
 class Detector(Protocol):
     """What a detector of one's own needs."""
 
@@ -235,6 +239,10 @@ class BuiltIn:
     def anchors(self) -> tuple[str, ...]:
         return info(self.pii_type).anchors
 
+    def may_find(self, text: str) -> bool:
+        """A cheap test that every text with a match passes."""
+        return bool(_NEEDS.get(self.pii_type, _DIGIT.search)(text))
+
     def spans(self, text: str, strict: bool):
         return self.find(text, strict)
 
@@ -389,10 +397,16 @@ def detect(detectors: list, text: str | None, strict: bool = True, anchored: boo
     """All detectors, overlaps resolved. anchored: a detector looks only around its anchors, if it has any."""
     if not text:
         return []
+    live = [not isinstance(d, BuiltIn) or d.may_find(text) for d in detectors]
+    if not any(live):
+        return []
     o = Offsets(text)
-    windows = anchor_windows(detectors, text, o) if anchored else [None] * len(detectors)
+    scan = anchored and any(on and d.anchors for on, d in zip(live, detectors, strict=True))
+    windows = anchor_windows(detectors, text, o) if scan else [None] * len(detectors)
     found = []
     for i, (d, w) in enumerate(zip(detectors, windows, strict=True)):
+        if not live[i]:
+            continue
         for lo, hi in [(0, len(text))] if w is None else [(o.char(a, False), o.char(b, True)) for a, b in w]:
             part = text[lo:hi] if w is not None else text
             found += [(i, Found(d.pii_type, d.confidence, o.byte(lo + a), o.byte(lo + b), part[a:b])) for a, b in d.spans(part, strict)]
