@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.llm.common import materialise
+from cloakframe.llm.winnow import hashes, kept
+
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
 #: Entries of the lexicon, and exceptions, at most.
@@ -145,13 +148,17 @@ def _counts(docs: DataFrame, wanted: frozenset | None) -> dict[str, int]:
     return {r["term"]: r["n"] for r in rows}
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", train_rows: int = TRAIN_ROWS, entries: int = ENTRIES, min_docs: int = 5, min_log_odds: float = 2.5) -> ToxicityModel:
-    """Fit on labelled rows (key, text, label 0 or 1), of which at most train_rows are used: those that hash first.
+def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", entries: int = ENTRIES, min_docs: int = 5, min_log_odds: float = 2.5) -> ToxicityModel:
+    """Fit on labelled rows (text, label 0 or 1): a bounded sample, as of labelled_sample.
 
-    Four fifths give the lexicon, the rest the curve. Null labels are left out; without rows of both labels
+    Rows that share the smallest hash of their word runs count as one, so that copies of a text don't make its words look telling.
+    Four fifths of those give the lexicon, the rest the curve. Null labels are left out; without rows of both labels
     no entry is learned and every score is the share of label 1.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(5)) == 0).alias("curve"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = labelled.where(F.col(label).isNotNull()).select(body.alias("text"), F.col(label).cast("int").alias("y"), F.array_min(hashes(kept(body))).alias("sketch"))
+    rows = rows.groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y", (F.pmod(F.xxhash64("sketch"), F.lit(5)) == 0).alias("curve"))
+    rows = materialise(rows, "labelled")  # at most train_rows texts
     lex = rows.where(~F.col("curve"))
     size = {r["y"]: r["n"] for r in lex.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
