@@ -14,7 +14,7 @@ from typing import NamedTuple, Protocol
 from cloakframe.functions import phoneplan
 from cloakframe.functions.blake3 import blake3_hex
 from cloakframe.policy import Policy
-from cloakframe.types import BUILT_IN, CONFIDENCE_RANK, HIGH, LOW, MEDIUM, ORDER, info, other
+from cloakframe.types import BUILT_IN, CONFIDENCE_RANK, HIGH, LOW, MEDIUM, info, other
 
 BLOCK = "█"
 WINDOW = 64
@@ -31,6 +31,7 @@ PATTERNS = {
     "passport_number": r"\b(?:[A-Z]{1,2}\d{6,10}|\d{6,10}[A-Z]?)\b",
     "national_id": r"\b\d{4}\s?\d{4}\s?\d{4}\b|\b[A-Z]{5}\d{4}[A-Z]\b|\b\d{3}\s?\d{3}\s?\d{3}\b|\b\d{3}\s?\d{5}\b|\b[12]\d{12}\b",
 }
+# Street and unit words.
 STREET_TYPES = "street st avenue ave boulevard blvd drive dr lane ln road rd court ct place pl way circle trail trl parkway pkwy highway hwy terrace ter".split()
 UNIT_TYPES = "suite ste apt unit floor fl".split()
 

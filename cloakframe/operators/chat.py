@@ -13,7 +13,7 @@ from cloakframe import kernel
 from cloakframe.functions import native
 from cloakframe.policy import Policy
 
-TOKENISED = "struct<messages:array<struct<role:string,content:string>>,tokens:map<string,string>>"
+# The note to the model, before and after the list of tokens.
 NOTE_HEAD = "NOTE: The following tokens represent redacted sensitive information. Reference these exact tokens in your response — they will be reconstructed to the original values for the user.\n\n"
 NOTE_TAIL = "\n\nIMPORTANT: Use the token markers (e.g., [[PII_0]]) directly in your response. Do NOT attempt to write the original values."
 
