@@ -85,8 +85,12 @@ def successors(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool
     return found.select(_id(F.col("raw")).alias("id"), "th", "n", _id(F.col("after.raw")).alias("next_id"), F.col("after.th").alias("next_th")), repeats
 
 
+#: Stands for a null doc_id inside; no document may have it.
+NO_ID = -(1 << 63)
+
+
 def _id(raw: Column) -> Column:
-    return F.coalesce(raw, F.lit(-(1 << 63)))
+    return F.coalesce(raw, F.lit(NO_ID))
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,15 +101,16 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     successor. An empty table gives an empty table. The longest text may have 2**31 words. Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), _id(F.col(doc_id).cast("long")).alias("id"), F.xxhash64(body).alias("th"))
+    # both joins below read exactly these columns by the same keys, so the texts are exchanged once and the exchange is used again
+    base = docs.select(_id(F.col(doc_id).cast("long")).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
     after, repeats = successors(docs, doc_id, text)
     after = materialise(after, "successors")
-    donors = base.select("id", "th", "text").join(after.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n"), ["id", "th"])
+    donors = base.join(after.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n"), ["id", "th"])
     donors = donors.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"), hashes(kept(F.col("text"))).alias("next_hashes"))
     if repeats:
         donors = donors.dropDuplicates(["id", "th"])
     n = F.length("text")
-    joined = base.join(donors, ["id", "th"]).select("doc_id", "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next_hashes")
+    joined = base.join(donors, ["id", "th"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next_hashes")
     found = joined.select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(kept(F.col("text")).alias("own"), kept(F.col("edited")).alias("edited")))).alias("v"), "next_hashes")
     own = found.select("doc_id", "n_chars", "edited_sha256", "v", "next_hashes", F.explode(F.array(F.struct(hashes(F.col("v.own")).alias("own"), hashes(F.col("v.edited")).alias("edited")))).alias("h"))
     return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("v.own")).alias("fingerprint"), fingerprint(F.col("v.edited")).alias("edited_fingerprint"), likeness(F.col("h.own"), F.col("h.edited")).alias("near_edited"), likeness(F.col("h.own"), F.col("next_hashes")).alias("near_next"))
