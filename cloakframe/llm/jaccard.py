@@ -231,8 +231,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     n_bands = bands(percent / 100, miss)
     sets = set_rows(docs, words, doc_id, text, n_bands).where("node is not null")
     nodes = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys")).withColumn("nid", F.xxhash64("node")), "nodes")
-    keyed = nodes.select("nid", F.explode("keys").alias("key"))
-    pivots = materialise(keyed.groupBy("key").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
+    # dealt by key once: the aggregate and the join below use the same exchange
+    keyed = nodes.select("nid", F.explode("keys").alias("key")).repartition("key")
+    pivots = keyed.groupBy("key").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("key", "pivot")
     edges = keyed.join(pivots, "key").where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct()
     family = components(edges).select(F.col("node").alias("nid"), F.col("root").alias("family"))
     sizes = materialise(family.join(nodes.select("nid", "node", "n", "at"), "nid"), "families")
