@@ -2,7 +2,8 @@
 
 A text is cut into words (runs without blanks, cut again every 16 characters, so that text without blanks has words too).
 Every run of GRAM words is hashed, and of every WINDOW hashes in a row the smallest is kept with its position, of equal ones
-the rightmost. Two texts that share a run of GRAM + WINDOW - 1 words share at least one kept hash.
+the rightmost. Two texts that share a run of GRAM + WINDOW - 1 words share at least one kept hash. Short texts keep every run, and
+two texts are compared by one rule: by all their runs if both are short, otherwise by the window minima of both.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ ALL = 32
 LAST = (1 << 31) - 1
 
 
-def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The kept values of a text, in order of position; a text of fewer than ``gram`` words has one run, and so has a text without words."""
+def prints(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """(kept, minima) of a text, in order of position: the kept values, and the window minima where all runs are kept, otherwise null.
+
+    A text of fewer than ``gram`` words has one run, and so has a text without words.
+    """
     words = F.transform(F.regexp_extract_all(text, F.lit("[^ \\t-\\r]{1,16}"), F.lit(0)), lambda w: F.xxhash64(w))
 
     def value(a: Column, i: Column) -> Column:
@@ -33,11 +37,17 @@ def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
     def smallest(v: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - window, F.lit(0))), lambda i: F.least(*[F.get(v, i + j) for j in range(window)]))
-        return F.when(F.size(v) <= ALL, v).otherwise(F.array_distinct(windows))
+        low, whole = F.array_distinct(windows), F.size(v) <= ALL
+        return F.struct(F.when(whole, v).otherwise(low).alias("kept"), F.when(whole, low).alias("minima"))
 
     return F.get(F.transform(F.array(words), lambda a: F.get(F.transform(F.array(grams(a)), smallest), 0)), 0)
 
 
+def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """The kept values of a text, in order of position."""
+    return prints(text, gram, window)["kept"]
+
+
 def hashes(values: Column) -> Column:
     return F.array_distinct(F.transform(values, lambda v: F.shiftright(v, 31)))
 
@@ -58,6 +68,17 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def hash_sets(p: Column) -> Column:
+    """(kept, minima) as distinct hashes."""
+    return F.struct(hashes(p["kept"]).alias("kept"), hashes(p["minima"]).alias("minima"))
+
+
+def nearness(a: Column, b: Column) -> Column:
+    """Likeness of two hash_sets(): by all runs if both texts keep them all, otherwise by the window minima of both."""
+    whole = a["minima"].isNotNull() & b["minima"].isNotNull()
+    return F.when(whole, likeness(a["kept"], b["kept"])).otherwise(likeness(F.coalesce(a["minima"], a["kept"]), F.coalesce(b["minima"], b["kept"])))
+
+
 def winnow(docs: DataFrame, text: str = "text", out: str = "kept") -> DataFrame:
     """docs with ``out``: the kept values of each text. Null texts count as empty."""
     return docs.withColumn(out, kept(F.coalesce(F.col(text), F.lit(""))))
@@ -93,12 +114,17 @@ def _id(raw: Column) -> Column:
     return F.coalesce(raw, F.lit(NO_ID))
 
 
+def once(value: Column, name: str) -> Column:
+    """A column that later columns read without computing it again."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has the last third of the code points replaced by the first as many of the next document in descending doc_id order.
     Null texts count as empty; texts without words are alike. Repeated rows are each returned, with one successor. A single document is its own
-    successor. An empty table gives an empty table. The longest text may have 2**31 words. Other columns are ignored.
+    successor. Likeness is of all runs where both texts keep them, otherwise of window minima. An empty table gives an empty table. The longest text may have 2**31 words. Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     # both joins below read exactly these columns by the same keys, so the texts are exchanged once and the exchange is used again
@@ -106,11 +132,12 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     after, repeats = successors(docs, doc_id, text)
     after = materialise(after, "successors")
     donors = base.join(after.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n"), ["id", "th"])
-    donors = donors.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"), hashes(kept(F.col("text"))).alias("next_hashes"))
+    donors = donors.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"), once(prints(F.col("text")), "p"))
+    donors = donors.select("id", "th", "head", hash_sets(F.col("p")).alias("next"))
     if repeats:
         donors = donors.dropDuplicates(["id", "th"])
     n = F.length("text")
-    joined = base.join(donors, ["id", "th"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next_hashes")
-    found = joined.select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(kept(F.col("text")).alias("own"), kept(F.col("edited")).alias("edited")))).alias("v"), "next_hashes")
-    own = found.select("doc_id", "n_chars", "edited_sha256", "v", "next_hashes", F.explode(F.array(F.struct(hashes(F.col("v.own")).alias("own"), hashes(F.col("v.edited")).alias("edited")))).alias("h"))
-    return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("v.own")).alias("fingerprint"), fingerprint(F.col("v.edited")).alias("edited_fingerprint"), likeness(F.col("h.own"), F.col("h.edited")).alias("near_edited"), likeness(F.col("h.own"), F.col("next_hashes")).alias("near_next"))
+    joined = base.join(donors, ["id", "th"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next")
+    found = joined.select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), once(F.struct(prints(F.col("text")).alias("own"), prints(F.col("edited")).alias("edited")), "v"), "next")
+    own = found.select("doc_id", "n_chars", "edited_sha256", "v", "next", once(F.struct(hash_sets(F.col("v.own")).alias("own"), hash_sets(F.col("v.edited")).alias("edited")), "h"))
+    return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("v.own.kept")).alias("fingerprint"), fingerprint(F.col("v.edited.kept")).alias("edited_fingerprint"), nearness(F.col("h.own"), F.col("h.edited")).alias("near_edited"), nearness(F.col("h.own"), F.col("next")).alias("near_next"))

@@ -117,6 +117,20 @@ def test_winnowing_guarantee(spark):
     assert all(a & b for a in sets for b in sets)
 
 
+def test_likeness_across_the_limit_of_short_texts(spark):
+    rnd = random.Random(11)
+    texts = [[f"w{rnd.randrange(10**9)}" for _ in range(winnow.ALL + winnow.GRAM - 1)] for _ in range(20)]
+    df = spark.createDataFrame([(" ".join(w[:-1]), " ".join(w), " ".join([*w, "more"])) for w in texts], "a string, b string, c string")
+    sets = df.select(*[winnow.hash_sets(winnow.prints(F.col(x))).alias(x) for x in "abc"])
+    near = sets.select(winnow.nearness(F.col("a"), F.col("b")).alias("short"), winnow.nearness(F.col("b"), F.col("c")).alias("across")).collect()
+    assert all(r.short == (winnow.ALL - 1) / winnow.ALL and r.across >= 0.6 for r in near)
+    # in the query: 32 runs, edited into more by a successor of short words
+    rows = [(2 * i, " ".join(w)) for i, w in enumerate(texts)] + [(2 * i - 1, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 20) for i in range(20)]
+    got = winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 0").collect()
+    assert all(r.fingerprint.count(",") == winnow.ALL - 1 for r in got) and all(r.edited_fingerprint.count(",") >= winnow.ALL / 2 for r in got)
+    assert sum(r.near_edited for r in got) / len(got) > 0.2
+
+
 def brute_lines(rows, least):
     names = defaultdict(set)
     for d, t in rows:
