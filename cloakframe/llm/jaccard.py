@@ -5,7 +5,8 @@
    Keys are dense enough that a pair at the threshold shares none with a probability under ``miss``.
 3. Within a family the search is exact. Its members are put into small groups of similar sets; each group has the union
    of its members' tokens; the overlap of a query with that union bounds its overlap with each member, and only groups whose
-   bound reaches the threshold are opened. Members already known to be connected aren't compared again.
+   bound reaches the threshold are opened. Every member counts its links; where no counts are asked for, members already known
+   to be connected aren't compared again.
    A family beyond one block is dealt out as pairs of blocks.
 4. The links found (a spanning set for each block pair) are contracted to components.
 """
@@ -161,8 +162,11 @@ class Forest:
         return x
 
 
-def family_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all that similarity connects. side: 0 or 1; with both, only pairs across are compared."""
+def family_links(sets: list[np.ndarray], side: list[int], percent: int, copies: list[int] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that connect all that similarity connects, number of links of each set). side: 0 or 1; with both, only pairs across are compared.
+
+    A link to a set counts as many times as the set has copies; without copies nothing is counted.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -194,6 +198,7 @@ def family_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[
         where[g] = k
     flag = np.zeros(len(tokens), bool)
     forest, links = Forest(n), []
+    weight, n_links = None if copies is None else np.array(copies, np.int64), np.zeros(n, np.int64)
     for q in order.tolist():
         need = -(-percent * int(size[q]) // 100)
         cnt = begin[ids[q] + 1] - begin[ids[q]]
@@ -208,37 +213,44 @@ def family_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[
                 continue
             if 100 * largest[k] < percent * size[q] or percent * smallest[k] > 100 * size[q]:
                 continue
-            if all(forest.find(i) == root for i in g.tolist()):
+            if weight is None and all(forest.find(i) == root for i in g.tolist()):
                 continue
             shared = np.add.reduceat(flag[inside[k]].astype(np.int64), edges[k])
             good = 100 * shared >= percent * (size[g] + size[q] - shared)
+            if weight is not None:
+                met = g[good & (g != q)]
+                n_links[q] += weight[met].sum()
+                if k != where[q]:  # within a group each of two sets has its turn as q
+                    n_links[met] += weight[q]
             for i in g[good].tolist():
                 if i != q and (r := forest.find(i)) != root:
                     forest.up[r] = root
                     links.append((q, i))
         flag[ids[q]] = False
-    return links
+    return links, n_links
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-9) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row.
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-9, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, n_links) of every row.
 
     Two rows link when 100 * shared shingles >= percent * all shingles of both. component_id is the smallest doc_id that links reach.
     Texts of fewer than ``words`` words are one shingle; null texts and texts without words have no shingle, link with nothing and
     have their own doc_id. Repeated rows are each returned. Rows with one doc_id and different texts are rows of their own; a null
-    doc_id never is the smallest. An empty table gives an empty table. node names the shingle set (null if empty). Other columns are ignored.
+    doc_id never is the smallest. An empty table gives an empty table. node names the shingle set (null if empty).
+    n_links is the number of other rows that a row links with, copies and repeated rows each counted; null without ``count_links``, which
+    saves comparisons of sets already connected. Other columns are ignored.
     """
     n_bands = bands(percent / 100, miss)
     sets = set_rows(docs, words, doc_id, text, n_bands).where("node is not null")
-    nodes = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys")).withColumn("nid", F.xxhash64("node")), "nodes")
+    nodes = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")).withColumn("nid", F.xxhash64("node")), "nodes")
     # dealt by key once: the aggregate and the join below use the same exchange
     keyed = nodes.select("nid", F.explode("keys").alias("key")).repartition("key")
     pivots = keyed.groupBy("key").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("key", "pivot")
     edges = keyed.join(pivots, "key").where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct()
     family = components(edges).select(F.col("node").alias("nid"), F.col("root").alias("family"))
-    sizes = materialise(family.join(nodes.select("nid", "node", "n", "at"), "nid"), "families")
+    sizes = materialise(family.join(nodes.select("nid", "node", "n", "at", "copies"), "nid"), "families")
     blocks = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
-    placed = sizes.join(blocks, "family").select("node", "at", "family", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb")
+    placed = sizes.join(blocks, "family").select("node", "at", "family", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb", "copies")
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,13 +260,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
                 s, so = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 names = digests(s, so)
                 pick = [i for i in range(hi - lo) if names[i] is not None and names[i] == want[lo + i]]
-                rows = [b.column(c).take(pa.array([lo + i for i in pick], pa.int64())) for c in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([s[so[i] : so[i + 1]].tobytes() for i in pick], pa.binary())], names=["node", "family", "block", "nb", "set"])
+                rows = [b.column(c).take(pa.array([lo + i for i in pick], pa.int64())) for c in (0, 2, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([s[so[i] : so[i + 1]].tobytes() for i in pick], pa.binary())], names=["node", "family", "block", "nb", "copies", "set"])
 
     texts = docs.select(row_key(doc_id, text).alias("at"), F.col(text).alias("text")).join(placed, "at")
-    found = texts.select("node", "text", "family", "block", "nb").mapInArrow(member_sets, "node binary, family long, block int, nb int, set binary")
+    found = texts.select("node", "text", "family", "block", "nb", "copies").mapInArrow(member_sets, "node binary, family long, block int, nb int, copies long, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    dealt = found.select("node", "family", "block", "set", other).select("node", "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "set")
+    dealt = found.select("node", "family", "block", "copies", "set", other).select("node", "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "copies", "set")
 
     def match(t: pa.Table) -> pa.Table:
         names, kept = t.column("node").to_pylist(), {}
@@ -263,15 +275,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         for i, x in enumerate(names):  # a repeated row gives a node twice
             kept.setdefault(x, i)
         pick = sorted(kept.values())
-        links: list = []
+        links, counts = [], np.zeros(len(pick), np.int64)
         if len(pick) > 1 and (bi == bj or len({blk[i] for i in pick}) == 2):
-            links = family_links([np.frombuffer(payload[i], np.uint64) for i in pick], [0 if bi == bj else int(blk[i] == bj) for i in pick], percent)
-        return pa.table({"a": pa.array([names[pick[x]] for x, _ in links], pa.binary()), "b": pa.array([names[pick[y]] for _, y in links], pa.binary())})
-
-    links = dealt.groupBy("family", "bi", "bj").applyInArrow(match, "a binary, b binary")
-    linked = materialise(components(materialise(links, "links")), "linked")
+            copies = t.column("copies").to_pylist()
+            links, counts = family_links([np.frombuffer(payload[i], np.uint64) for i in pick], [0 if bi == bj else int(blk[i] == bj) for i in pick], percent, [copies[i] for i in pick] if count_links else None)
+        met = np.flatnonzero(counts).tolist()  # a row (a, null, n): n links of a in this block pair
+        a, b = [names[pick[x]] for x, _ in links] + [names[pick[x]] for x in met], [names[pick[y]] for _, y in links] + [None] * len(met)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([None] * len(links) + counts[met].tolist(), pa.int64())})
+
+    links = materialise(dealt.groupBy("family", "bi", "bj").applyInArrow(match, "a binary, b binary, n long"), "links")
+    linked = materialise(components(links.where("b is not null").select("a", "b")), "linked")
+    counted = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     least = linked.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "root").select("node", "component_id")
-    final = materialise(nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0)) if count_links else F.lit(None).cast("long")
+    final = materialise(nodes.join(named, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links.alias("n_links")), "named")
     rows = set_rows(docs, words, doc_id, text)
-    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    alone = F.col("node").isNull()
+    none = F.lit(0 if count_links else None).cast("long")
+    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"))

@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with a null doc_id stay: nothing tells which of them stands for its group. Documents without words stay too.
     """
-    groups = materialise(jaccard.jaccard_groups(docs, words=5, percent=80, doc_id="doc_id", text="text").select("doc_id", "component_id"), "groups")
+    groups = materialise(jaccard.jaccard_groups(docs, words=5, percent=80, doc_id="doc_id", text="text", count_links=False).select("doc_id", "component_id"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -69,6 +69,20 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_groups(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect())) == Counter(brute_groups(rows, 4, 85))
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_counts_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    family = [" ".join(f"x{j}" if i == at else w for i, w in enumerate(base)) for j, at in enumerate(rnd.randrange(120) for _ in range(70))]
+    rows = near_copies(5) + [(10_000 + i, t) for i, t in enumerate(family + family[:9])]
+    sets = [(d, {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := re.findall(r"[^ \t-\r]+", lower(t or ""))) else set()) for d, t in rows]
+    want = Counter((d, sum(bool(s) and 100 * len(s & o) >= 85 * len(s | o) for j, (_, o) in enumerate(sets) if j != i)) for i, (d, s) in enumerate(sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_groups(df, 4, 85)
+    assert Counter(map(tuple, got.select("doc_id", "n_links").collect())) == want
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
