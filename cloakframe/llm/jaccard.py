@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.common import components, materialise, text_bytes
@@ -128,8 +128,8 @@ def band_keys(s: np.ndarray, n_bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int = 0) -> DataFrame:
-    """(doc_id, node, n_shingles[, keys]) of every row; node is null for a text without words."""
+def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int = 0, key: Column | None = None) -> DataFrame:
+    """(doc_id, at, node, n_shingles[, keys]) of every row; at is ``key``, or else row_key; node is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +143,7 @@ def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int = 0)
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "node", "n_shingles", "keys"][: len(cols)])
 
     kind = "doc_id long, at long, node binary, n_shingles long" + (", keys array<long>" if n_bands else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("at")).mapInArrow(run, kind)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (row_key(doc_id, text) if key is None else key).alias("at")).mapInArrow(run, kind)
 
 
 def row_key(doc_id: str, text: str):
@@ -231,14 +231,15 @@ def family_links(sets: list[np.ndarray], side: list[int], percent: int, copies:
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-9, count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, n_links) of every row.
+    """(doc_id, n_shingles, component_id, node, n_links, component, text_hash) of every row.
 
     Two rows link when 100 * shared shingles >= percent * all shingles of both. component_id is the smallest doc_id that links reach.
     Texts of fewer than ``words`` words are one shingle; null texts and texts without words have no shingle, link with nothing and
     have their own doc_id. Repeated rows are each returned. Rows with one doc_id and different texts are rows of their own; a null
     doc_id never is the smallest. An empty table gives an empty table. node names the shingle set (null if empty).
     n_links is the number of other rows that a row links with, copies and repeated rows each counted; null without ``count_links``, which
-    saves comparisons of sets already connected. Other columns are ignored.
+    saves comparisons of sets already connected. component is the smallest node that links reach, which names the component also where doc_ids
+    repeat or are null; text_hash is xxhash64 of the text. Other columns are ignored.
     """
     n_bands = bands(percent / 100, miss)
     sets = set_rows(docs, words, doc_id, text, n_bands).where("node is not null")
@@ -287,10 +288,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     linked = materialise(components(links.where("b is not null").select("a", "b")), "linked")
     counted = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     least = linked.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select("node", "component_id")
+    named = linked.join(least, "root").select("node", "component_id", "root")
     n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0)) if count_links else F.lit(None).cast("long")
-    final = materialise(nodes.join(named, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links.alias("n_links")), "named")
-    rows = set_rows(docs, words, doc_id, text)
+    final = materialise(nodes.join(named, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links.alias("n_links"), F.coalesce("root", "node").alias("component")), "named")
+    rows = set_rows(docs, words, doc_id, text, key=F.xxhash64(text))
     alone = F.col("node").isNull()
     none = F.lit(0 if count_links else None).cast("long")
-    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"))
+    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"), "component", F.col("at").alias("text_hash"))

@@ -31,13 +31,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that five-word shingles with a similarity of 0.8 or more connect, the one with the smallest doc_id stays.
+    """Of the rows that five-word shingles with a similarity of 0.8 or more connect, one stays: that with the smallest doc_id, nulls last.
 
-    Rows with a null doc_id stay: nothing tells which of them stands for its group. Documents without words stay too.
+    Rows of one doc_id with different texts are rows of their own; of those in one component the text with the smallest hash stays, and
+    of rows that repeat both doc_id and text any one. Rows without words stay.
     """
-    groups = materialise(jaccard.jaccard_groups(docs, words=5, percent=80, doc_id="doc_id", text="text", count_links=False).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = "__cloakframe_hash"
+    groups = jaccard.jaccard_groups(docs, words=5, percent=80, doc_id="doc_id", text="text", count_links=False).where("node is not null")
+    rows = materialise(groups.groupBy("doc_id", F.col("text_hash").alias(key)).agg(F.any_value("component").alias("component"), F.count("*").alias("n")), "groups")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("first")).select("first.doc_id", f"first.{key}")
+
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        same = right.select(F.col("doc_id").alias("__cloakframe_id"), F.col(key).alias("__cloakframe_key"))
+        return left.join(same, F.col("doc_id").eqNullSafe(F.col("__cloakframe_id")) & (F.col(key) == F.col("__cloakframe_key")), how)
+
+    kept = matched(docs.withColumn(key, F.xxhash64("text")), matched(rows, first, "left_anti"), "left_anti")
+    repeated = matched(rows.where("n > 1"), first, "left_semi")
+    if not repeated.isEmpty():
+        kept = matched(kept, repeated, "left_anti").unionByName(matched(kept, repeated, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,18 @@ def test_pipeline(spark):
     assert sequences <= total / 2048 + 2
 
 
+def test_near_copies_go_row_by_row(spark):
+    def text(c):
+        return " ".join(f"{c}{i}" for i in range(60))
+
+    # repeated rows; copies without an id; one id with two texts, of which one is a near copy of a smaller id; two components with one least id
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b")), (5, text("a") + " more"), (5, text("c")), (7, text("d")), (7, text("e")), (8, text("e")), (None, text("e")), (9, None), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, df, D)
+    want = [(1, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (7, text("e")), (9, None), (9, None), (9, "")]
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 def test_stages_bear_odd_rows(spark):
     rows = [(1, None, "en", "s", None), (None, "some text", None, None, 9), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "w " * 5000, "en", "s", 10000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
