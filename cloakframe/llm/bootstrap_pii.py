@@ -85,7 +85,7 @@ def wide_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     taken = sorted(s for v in base.values() for s in v)
     found: list[tuple[str, int, int]] = []
     for kind, rx in _WIDE.items():
-        if kind == "email" and "at" not in text or kind == "ip" and ":" not in text:
+        if kind == "email" and not any(x in text for x in ("at", "AT", "At", "aT")) or kind == "ip" and ":" not in text:
             continue
         found += [(kind, *m.span()) for m in rx.finditer(text)]
     out, k, last = [], 0, 0

@@ -86,6 +86,12 @@ def test_base_spans_take_linear_time(text):
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("at", ["at", "AT", "At", "aT"])
+def test_written_out_addresses_in_any_case(at):
+    text = f"JOHN ({at}) EXAMPLE (DOT) COM"
+    assert B.wide_spans(text, B.base_spans(text)) == [("email", 0, len(text))]
+
+
 @pytest.mark.parametrize("bound", [200_000, 1])
 def test_patterns_discover_identifiers(spark, bound):
     rows = [(i, f"some words here {w} call me at +1 (202) 555-{i:04d} thanks") for i, w in enumerate("abcdefghij")]
