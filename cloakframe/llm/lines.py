@@ -31,13 +31,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
     base = docs.drop("n_lines", "n_dropped")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     digest = F.unhex(F.md5(F.col("k").cast("binary")))
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("d"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("k")).where(F.length("k") >= min_chars)
+    keyed = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("d"), F.explode_outer(F.array_distinct(F.transform(lines, line_key))).alias("k")).where(F.length("k") >= min_chars)
     shared = materialise(keyed.select(digest.alias("key"), "d").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key", F.lit(True).alias("gone")), "shared-lines")
     if shared.count() <= broadcast_keys:
         shared = F.broadcast(shared)
     # one branch, so that a row's id is made once: the other columns travel with the row's first line
     rest = F.struct(F.col(text).isNull().alias(NULL), *[F.col(c) for c in base.columns if c != text])
-    each = base.select(F.monotonically_increasing_id().alias(ROW), rest.alias(REST), lines.alias(KEPT)).select(ROW, REST, F.posexplode(KEPT).alias("pos", "line"))
+    each = base.select(F.monotonically_increasing_id().alias(ROW), rest.alias(REST), lines.alias(KEPT)).select(ROW, REST, F.posexplode_outer(KEPT).alias("pos", "line"))
     each = each.select(ROW, F.when(F.col("pos") == 0, F.col(REST)).alias(REST), "pos", "line", line_key(F.col("line")).alias("k"))
     # a line without a key gets a name that no digest has, so that such lines don't meet in one task
     marked = each.withColumn("key", F.when(F.length("k") >= min_chars, digest).otherwise(F.concat(F.lit("-"), F.col(ROW).cast("string")).cast("binary"))).drop("k").join(shared, "key", "left")

@@ -1,9 +1,10 @@
 """Winnowing fingerprints of documents. DataFrame functions only.
 
-A text is cut into words (runs without blanks, cut again every 16 characters, so that text without blanks has words too).
-Every run of GRAM words is hashed, and of every WINDOW hashes in a row the smallest is kept with its position, of equal ones
-the rightmost. Two texts that share a run of GRAM + WINDOW - 1 words share at least one kept hash. Short texts keep every run, and
-two texts are compared by one rule: by all their runs if both are short, otherwise by the window minima of both.
+A text is cut into words: runs without blanks of up to LONG characters, and single characters where a run is longer (up to its last
+LONG), so that text without blanks is cut the same way wherever it begins. Every run of GRAM words has a rolling hash, the cyclic polynomial
+of its words' hashes; neighbouring runs share its halves. Of every WINDOW hashes in a row the smallest is kept with its
+position, of equal ones the rightmost. Two texts that share a run of GRAM + WINDOW - 1 words share at least one kept hash. The rule
+is the same for texts of any length; one with fewer than WINDOW hashes is one window.
 """
 
 from __future__ import annotations
@@ -13,39 +14,45 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.common import materialise
 
-GRAM, WINDOW = 4, 8
-#: A text of at most so many runs keeps them all: a superset of what windows keep, so that short texts can be told apart.
-ALL = 32
+#: GRAM is a power of two.
+GRAM, WINDOW, LONG = 4, 5, 24
+WORDS = f"[^ \\t-\\r]{{1,{LONG}}}+(?![^ \\t-\\r])|[^ \\t-\\r]"
 #: A kept value is a 32-bit hash, then 31 bits of (LAST - position): the smallest value is the smallest hash at its rightmost place.
 LAST = (1 << 31) - 1
 
 
-def prints(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """(kept, minima) of a text, in order of position: the kept values, and the window minima where all runs are kept, otherwise null.
+def _rolled(words: Column, gram: int) -> Column:
+    """The hash of each run of gram words: rotl(w0, gram - 1) ^ ... ^ rotl(w[gram - 1], 0), each half once for both runs that have it."""
 
-    A text of fewer than ``gram`` words has one run, and so has a text without words.
-    """
-    words = F.transform(F.regexp_extract_all(text, F.lit("[^ \\t-\\r]{1,16}"), F.lit(0)), lambda w: F.xxhash64(w))
+    def halves(half: int):
+        def join(a: Column, i: Column) -> Column:
+            x = F.get(a, i)
+            return F.shiftleft(x, half).bitwiseOR(F.shiftrightunsigned(x, 64 - half)).bitwiseXOR(F.get(a, i + half))
 
-    def value(a: Column, i: Column) -> Column:
-        h = F.xxhash64(*[F.get(a, i + j) for j in range(gram)])
-        return F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(LAST) - i)
+        return lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - half - 1), lambda i: join(a, i))
 
-    # a one-element array carries a value into a lambda once, so that it isn't computed again for each element
-    def grams(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - gram, F.lit(0))), lambda i: value(a, i))
+    half = 1
+    while half < gram:
+        words = once_in(words, halves(half))
+        half *= 2
+    return words
 
-    def smallest(v: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - window, F.lit(0))), lambda i: F.least(*[F.get(v, i + j) for j in range(window)]))
-        low, whole = F.array_distinct(windows), F.size(v) <= ALL
-        return F.struct(F.when(whole, v).otherwise(low).alias("kept"), F.when(whole, low).alias("minima"))
 
-    return F.get(F.transform(F.array(words), lambda a: F.get(F.transform(F.array(grams(a)), smallest), 0)), 0)
+def once_in(value: Column, use) -> Column:
+    """use(value), where a one-element array carries value into a lambda, so that it isn't computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def kept(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The kept values of a text, in order of position."""
-    return prints(text, gram, window)["kept"]
+    """The kept values of a text, in order of position. A text of fewer than ``gram`` words has one run, and so has a text without words."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
+    words = once_in(words, lambda a: F.when(F.size(a) >= gram, a).otherwise(F.concat(a, F.array_repeat(F.lit(0).cast("long"), F.lit(gram) - F.size(a)))))
+    values = once_in(_rolled(words, gram), lambda h: F.transform(h, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(LAST) - i)))
+
+    def smallest(v: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - window, F.lit(0))), lambda i: F.least(*[F.get(v, i + j) for j in range(window)])))
+
+    return once_in(values, smallest)
 
 
 def hashes(values: Column) -> Column:
@@ -68,17 +75,6 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def hash_sets(p: Column) -> Column:
-    """(kept, minima) as distinct hashes."""
-    return F.struct(hashes(p["kept"]).alias("kept"), hashes(p["minima"]).alias("minima"))
-
-
-def nearness(a: Column, b: Column) -> Column:
-    """Likeness of two hash_sets(): by all runs if both texts keep them all, otherwise by the window minima of both."""
-    whole = a["minima"].isNotNull() & b["minima"].isNotNull()
-    return F.when(whole, likeness(a["kept"], b["kept"])).otherwise(likeness(F.coalesce(a["minima"], a["kept"]), F.coalesce(b["minima"], b["kept"])))
-
-
 def winnow(docs: DataFrame, text: str = "text", out: str = "kept") -> DataFrame:
     """docs with ``out``: the kept values of each text. Null texts count as empty."""
     return docs.withColumn(out, kept(F.coalesce(F.col(text), F.lit(""))))
@@ -103,15 +99,12 @@ def successors(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool
     ring = Window.orderBy("pid")
     joins = heads.select("pid", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("over"))
     found = near.join(F.broadcast(joins), "pid").withColumn("after", F.coalesce("after", "over"))
-    return found.select(_id(F.col("raw")).alias("id"), "th", "n", _id(F.col("after.raw")).alias("next_id"), F.col("after.th").alias("next_th")), repeats
-
-
-#: Stands for a null doc_id inside; no document may have it.
-NO_ID = -(1 << 63)
+    return found.select(*named("raw", ""), "th", "n", *named("after.raw", "next_"), F.col("after.th").alias("next_th")), repeats
 
 
-def _id(raw: Column) -> Column:
-    return F.coalesce(raw, F.lit(NO_ID))
+def named(raw: str, prefix: str) -> list[Column]:
+    """A doc_id as two columns without nulls, which joins compare."""
+    return [F.coalesce(F.col(raw), F.lit(0).cast("long")).alias(f"{prefix}id"), F.col(raw).isNull().alias(f"{prefix}none")]
 
 
 def once(value: Column, name: str) -> Column:
@@ -123,21 +116,22 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has the last third of the code points replaced by the first as many of the next document in descending doc_id order.
-    Null texts count as empty; texts without words are alike. Repeated rows are each returned, with one successor. A single document is its own
-    successor. Likeness is of all runs where both texts keep them, otherwise of window minima. An empty table gives an empty table. The longest text may have 2**31 words. Other columns are ignored.
+    Null texts count as empty; texts without words are alike. Null doc_ids come last. Repeated rows are each returned, with one successor. A
+    single document is its own successor. An empty table gives an empty table. A text may have 2**31 words and must fit a task.
+    Other columns are ignored, whatever their names.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     # both joins below read exactly these columns by the same keys, so the texts are exchanged once and the exchange is used again
-    base = docs.select(_id(F.col(doc_id).cast("long")).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("raw"), body.alias("text")).select(*named("raw", ""), F.xxhash64("text").alias("th"), "text")
     after, repeats = successors(docs, doc_id, text)
     after = materialise(after, "successors")
-    donors = base.join(after.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n"), ["id", "th"])
-    donors = donors.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"), once(prints(F.col("text")), "p"))
-    donors = donors.select("id", "th", "head", hash_sets(F.col("p")).alias("next"))
+    keys = ["id", "none", "th"]
+    donors = base.join(after.select(F.col("next_id").alias("id"), F.col("next_none").alias("none"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("none").alias("to_none"), F.col("th").alias("to_th"), "n"), keys)
+    donors = donors.select(F.col("to_id").alias("id"), F.col("to_none").alias("none"), F.col("to_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("head"), hashes(kept(F.col("text"))).alias("next"))
     if repeats:
-        donors = donors.dropDuplicates(["id", "th"])
+        donors = donors.dropDuplicates(keys)
     n = F.length("text")
-    joined = base.join(donors, ["id", "th"]).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next")
-    found = joined.select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), once(F.struct(prints(F.col("text")).alias("own"), prints(F.col("edited")).alias("edited")), "v"), "next")
-    own = found.select("doc_id", "n_chars", "edited_sha256", "v", "next", once(F.struct(hash_sets(F.col("v.own")).alias("own"), hash_sets(F.col("v.edited")).alias("edited")), "h"))
-    return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("v.own.kept")).alias("fingerprint"), fingerprint(F.col("v.edited.kept")).alias("edited_fingerprint"), nearness(F.col("h.own"), F.col("h.edited")).alias("near_edited"), nearness(F.col("h.own"), F.col("next")).alias("near_next"))
+    joined = base.join(donors, keys).select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"), "next")
+    found = joined.select("doc_id", F.col("n_chars").cast("long"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), once(F.struct(kept(F.col("text")).alias("own"), kept(F.col("edited")).alias("edited")), "v"), "next")
+    own = found.select("doc_id", "n_chars", "edited_sha256", "v", "next", once(F.struct(hashes(F.col("v.own")).alias("own"), hashes(F.col("v.edited")).alias("edited")), "h"))
+    return own.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("v.own")).alias("fingerprint"), fingerprint(F.col("v.edited")).alias("edited_fingerprint"), likeness(F.col("h.own"), F.col("h.edited")).alias("near_edited"), likeness(F.col("h.own"), F.col("next")).alias("near_next"))
