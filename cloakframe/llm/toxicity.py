@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon that is matched with Aho-Corasick on folded text.
 
 Folding undoes homoglyphs and digit substitutions. Entries are whole words or beginnings of words, with the weight that
-labelled documents give them; exception phrases (a word, or a word with the one before it) silence a match. The weights found are
+labelled documents give them; exception phrases (a word, or a word with the one before or after it) silence a match. The weights found are
 summed and normalised by length; a logistic curve fitted on other labelled documents turns both into a score.
 """
 
@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.llm.common import materialise
-from cloakframe.llm.winnow import hashes, kept
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -32,45 +34,56 @@ STEMS = (4, 5, 6, 7)
 
 # Look-alike characters and digit substitutions, by the letter that they stand for.
 LOOKALIKES = {
-    "a": "а@4αａ",
-    "b": "Ьｂ8",
-    "c": "сｃ",
-    "d": "ԁｄ",
-    "e": "е3ｅ",
-    "f": "ｆ",
-    "g": "ɡｇ9",
-    "h": "һｈ",
-    "i": "і1ιｉ¡",
-    "j": "јｊ",
-    "k": "кκｋ",
-    "l": "ӏｌ",
-    "m": "мｍ",
-    "n": "ｎ",
-    "o": "о0οｏ",
-    "p": "рρｐ",
-    "q": "ｑ",
-    "r": "ｒ",
-    "s": "ѕ5$ｓ",
-    "t": "т7τｔ",
-    "u": "υｕ",
-    "v": "νｖ",
-    "w": "ѡｗ",
-    "x": "хｘ",
-    "y": "уｙ",
-    "z": "ｚ",
+    "a": "аАαΑ@4",
+    "b": "ЬьВвβΒ8",
+    "c": "сСϲ",
+    "d": "ԁ",
+    "e": "еЕεΕ3",
+    "g": "ɡ9",
+    "h": "һНнΗ",
+    "i": "іІιΙ1¡!",
+    "j": "јЈ",
+    "k": "кКκΚ",
+    "l": "ӏӀ|",
+    "m": "мМΜ",
+    "n": "ηΝ",
+    "o": "оОοΟ0",
+    "p": "рРρΡ",
+    "s": "ѕЅ5$",
+    "t": "тТτΤ7",
+    "u": "υ",
+    "v": "νѵ",
+    "w": "ѡω",
+    "x": "хХχΧ",
+    "y": "уУγΥ",
+    "z": "Ζ",
 }
-FOLD = str.maketrans({c: k for k, v in LOOKALIKES.items() for c in v} | dict.fromkeys("​‌‍⁠﻿­"))
+_STANDS_FOR = {c: k for k, v in LOOKALIKES.items() for c in v}
+
+
+class _Folding(dict):
+    """Code point to what it folds to: compatibility forms and marks undone, then look-alikes, then lower case. Filled as characters are met."""
+
+    def __missing__(self, cp: int) -> str:
+        c = chr(cp)
+        parts = c if c in _STANDS_FOR or 0xAC00 <= cp <= 0xD7A3 else unicodedata.normalize("NFKD", c)
+        kept = [x for x in parts if unicodedata.category(x) not in ("Mn", "Me", "Cf")]
+        self[cp] = "".join(_STANDS_FOR.get(x, x) for x in kept).lower()
+        return self[cp]
+
+
+FOLDING = _Folding()
 WORD = re.compile(r"[^\W\d_]+")
-LOOSE = re.compile(r"[$@]+(?![^\W_])")
+LOOSE = re.compile(r"[$@!|]+(?![^\W_])|(?<![^\W_])[!|]+")
 NUMBER = re.compile(r"(?<![^\W_])[\d.,:+-]*\d(?![^\W_])")
 
 
 def fold(text: str | None) -> str:
-    """Lower case, look-alikes as the letters that they stand for. Signs and digits are folded within words only."""
-    t = (text or "").lower()
-    if "$" in t or "@" in t:
+    """Lower case without marks, look-alikes as the letters that they stand for. Signs and digits are folded within words only."""
+    t = text or ""
+    if any(x in t for x in "$@!|"):
         t = LOOSE.sub(" ", t)
-    return NUMBER.sub(" ", t).translate(FOLD)
+    return NUMBER.sub(" ", t).translate(FOLDING)
 
 
 def terms(words: list[str]) -> set[str]:
@@ -83,6 +96,11 @@ def terms(words: list[str]) -> set[str]:
     return found
 
 
+def phrases(words: list[str], k: int) -> list[str]:
+    """The word at k alone, with the one before and with the one after."""
+    return [words[k], *([f"{words[k - 1]} {words[k]}"] if k else []), *([f"{words[k]} {words[k + 1]}"] if k + 1 < len(words) else [])]
+
+
 @dataclass
 class ToxicityModel:
     """weights: by term ('=word' or '^stem'). exceptions: words and 'word word' phrases. coef: bias, log total, total by length."""
@@ -117,15 +135,11 @@ class ToxicityModel:
             w = whole if closed and whole is not None else stem if not closed else None
             if w is not None:
                 best[start] = w
-        total = 0.0
-        for start, w in best.items():
-            if self.exceptions:
-                word = WORD.match(t, start)[0]
-                before = WORD.findall(t[max(0, start - 40) : start])
-                if word in self.exceptions or before and f"{before[-1]} {word}" in self.exceptions:
-                    continue
-            total += w
-        return total, n
+        if not self.exceptions or not best:
+            return sum(best.values()), n
+        spans = [m.span() for m in WORD.finditer(t)]
+        words, starts = [t[a:b] for a, b in spans], [a for a, _ in spans]
+        return sum(w for start, w in best.items() if not self.exceptions.intersection(phrases(words, bisect_left(starts, start)))), n
 
     def score(self, total: float, n: int) -> float:
         b, c1, c2 = self.coef
@@ -148,15 +162,27 @@ def _counts(docs: DataFrame, wanted: frozenset | None) -> dict[str, int]:
     return {r["term"]: r["n"] for r in rows}
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", entries: int = ENTRIES, min_docs: int = 5, min_log_odds: float = 2.5) -> ToxicityModel:
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, y) with the smallest hashes of the text's runs of three folded words: three, or one where y is 1."""
+    for b in batches:
+        found = []
+        for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = WORD.findall(fold(t))
+            runs = {zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))}
+            found.append(sorted(runs)[: 1 if y == 1 else 3])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], names=["text", "y", "sketch"])
+
+
+def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", entries: int = ENTRIES, min_docs: int = 5, min_share: float = 0.02, min_log_odds: float = 2.5) -> ToxicityModel:
     """Fit on labelled rows (text, label 0 or 1): a bounded sample, as of labelled_sample.
 
-    Rows that share the smallest hash of their word runs count as one, so that copies of a text don't make its words look telling.
+    Copies of a text count as one, so that they don't make its words look telling: rows of label 1 that share the smallest hash of their
+    runs of three folded words, and rows of label 0 that share the three smallest.
     Four fifths of those give the lexicon, the rest the curve. Null labels are left out; without rows of both labels
     no entry is learned and every score is the share of label 1.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = labelled.where(F.col(label).isNotNull()).select(body.alias("text"), F.col(label).cast("int").alias("y"), F.array_min(hashes(kept(body))).alias("sketch"))
+    rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
+    rows = rows.mapInArrow(sketch, "text string, y int, sketch array<long>")
     rows = rows.groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y", (F.pmod(F.xxhash64("sketch"), F.lit(5)) == 0).alias("curve"))
     rows = materialise(rows, "labelled")  # at most train_rows texts
     lex = rows.where(~F.col("curve"))
@@ -165,7 +191,7 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
     if not n1 or not n0:
         p = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-6), 1 - 1e-6) if n1 + n0 else 1e-3
         return ToxicityModel({}, frozenset(), (math.log(p / (1 - p)), 0.0, 0.0))
-    least = max(min_docs, round(0.01 * n1))
+    least = max(min_docs, round(min_share * n1))
     pos = {k: v for k, v in _counts(lex.where("y = 1").select("text"), None).items() if v >= least}
     neg = _counts(lex.where("y = 0").select("text"), frozenset(pos)) if pos else {}
     odds = {k: math.log((v + 0.5) / (n1 + 1)) - math.log((neg.get(k, 0) + 0.5) / (n0 + 1)) for k, v in pos.items()}
@@ -192,15 +218,13 @@ def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic",
                 found = set()
                 for k, w in enumerate(words):
                     if "=" + w in chosen or any("^" + w[:m] in chosen for m in STEMS if len(w) > m):
-                        found.add(w)
-                        if k:
-                            found.add(f"{words[k - 1]} {w}")
+                        found.update(phrases(words, k))
                 for x in found:
                     c.setdefault(x, [0, 0])[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([x[0] for x in c.values()], pa.int64()), pa.array([x[1] for x in c.values()], pa.int64())], names=["phrase", "n0", "n1"])
 
-    phrases = lex.select("text", "y").mapInArrow(matched, "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 >= 3 and n0 > 2 * n1").orderBy(F.desc("n0"), "phrase").limit(entries).collect()
-    model = ToxicityModel(chosen, frozenset(r["phrase"] for r in phrases), draft.coef)
+    silent = lex.select("text", "y").mapInArrow(matched, "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 >= 3 and n0 > 2 * n1").orderBy(F.desc("n0"), "phrase").limit(entries).collect()
+    model = ToxicityModel(chosen, frozenset(r["phrase"] for r in silent), draft.coef)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.automaton()
