@@ -6,6 +6,7 @@ characters outside a range whose classes are certain go to the library whole. Th
 
 from __future__ import annotations
 
+import hashlib
 import os
 import unicodedata
 
@@ -49,6 +50,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+#: Spans beyond so many characters are named by a digest: long ones can be made that have equal polynomials.
+LONG = 256
+
+
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """64-bit hash of values[start:end] for each span; equal content gives equal hashes wherever it stands. Spans ascend."""
     out = np.empty(len(start), np.uint64)
@@ -67,6 +72,8 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: in
         x ^= x >> np.uint64(32)
         out[k:j] = x
         k = j
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(values[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -300,8 +307,6 @@ _KEPT: dict[str, FastTokenizer] = {}
 
 def tokenizer(spec: str) -> FastTokenizer:
     """One tokenizer with its cache for each Python worker and file."""
-    import hashlib
-
     name = hashlib.sha1(spec.encode()).hexdigest()
     if name not in _KEPT:
         _KEPT.clear()

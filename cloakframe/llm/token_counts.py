@@ -20,10 +20,11 @@ TABLE_SIZE = 32768
 def frequent_lengths(docs: DataFrame, spec: str, text: str = "text", sample_rows: int = SAMPLE_ROWS, table_size: int = TABLE_SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(keys, lengths) of the most frequent pre-tokens of about sample_rows rows: at most table_size entries of 8 + 2 bytes."""
     total = docs.count()
+    known = docs.sparkSession.sparkContext.broadcast(spec)
     share = min(1.0, sample_rows / max(1, total))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, found = tokenizer(spec), {}
+        tok, found = tokenizer(known.value), {}
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for g in tok.groups(texts)[0]:
@@ -47,7 +48,7 @@ def token_counts(docs: DataFrame, spec: str, text: str = "text", limit: int = 10
 
     spec: the JSON text of a tokenizers file. Null texts count as empty: 0 tokens. Rows keep their other columns; repeated rows
     are counted each. An empty table gives an empty table. Special strings inside texts count as the library counts them.
-    Two tiers are asked for each pre-token: a broadcast table of at most TABLE_SIZE frequent ones, then a bounded cache in the worker.
+    A very long text must fit a task. Two tiers are asked for each pre-token: a broadcast table of at most TABLE_SIZE frequent ones, then a bounded cache in the worker.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast((spec, *frequent_lengths(docs, spec, text)))
