@@ -94,31 +94,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     Columns of docs with those names are replaced. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
     Each run of ``window`` words of an item is looked for; a shorter item is looked for whole; one without words or with a null text never occurs.
     A null item_id marks words but isn't listed. Repeated items count once. Null and empty texts have no words and no hits.
-    Empty tables give no rows or no hits. The benchmark is read item by item in parts whose windows fit one automaton, so its size isn't bounded;
-    each part is one pass over the texts, and the first part is all there is for any usual benchmark.
+    Empty tables give no rows or no hits. The benchmark is read item by item in parts whose windows fit one automaton, so its size isn't bounded, and
+    the driver holds two parts at most; each part is one pass over the texts, and the first part is all there is for any usual benchmark.
     """
     spark = docs.sparkSession
     own = ["n_words", "n_hit", "hit_spans", "items"]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     base = docs.drop(*own)
     at = base.columns.index(text)
-    parts, size = [[]], 0
-    for r in benchmark.select(item_id, item_text).toLocalIterator():
-        words = normal(r[1])
-        chars = sum(map(len, words)) * min(window, max(1, len(words)))
-        if parts[-1] and size + chars > window_chars:
-            parts.append([])
-            size = 0
-        parts[-1].append((None if r[0] is None else str(r[0]), r[1]))
-        size += chars
+
+    def parts() -> Iterator[list]:
+        part, size = [], 0
+        for r in benchmark.select(item_id, item_text).toLocalIterator():
+            words = normal(r[1])
+            chars = sum(map(len, words)) * min(window, max(1, len(words)))
+            if part and size + chars > window_chars:
+                yield part
+                part, size = [], 0
+            part.append((None if r[0] is None else str(r[0]), r[1]))
+            size += chars
+        yield part
+
     held_schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("__cloakframe_runs", span), T.StructField("items", T.ArrayType(T.StringType()))])
     final = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
     n_base = len(base.columns)
     spans_type, names_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
-    cur = base
-    for k, part in enumerate(parts):
-        held = spark.sparkContext.broadcast(part)
-        last = k + 1 == len(parts)
+    cur, rest, k = base, parts(), 0
+    part = next(rest)
+    while part is not None:  # the driver holds this part and the next
+        held, after = spark.sparkContext.broadcast(part), next(rest, None)
+        last = after is None
 
         def search(batches: Iterator[pa.RecordBatch], held=held, k=k, last=last) -> Iterator[pa.RecordBatch]:
             items = held.value
@@ -142,4 +147,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
         cur = cur.mapInArrow(search, final if last else held_schema)
         if not last:
             cur = materialise(cur, "decontam")
+            held.destroy()
+        part, k = after, k + 1
     return cur
