@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where the setting is absent (tests, laptops)."""
+    """The shared folder of ``spark.checkpoint.dir``; a private one only where the setting is absent and the master is local (tests, laptops)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cloakframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,7 +33,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, is computed once and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*done: DataFrame) -> None:
+    """Remove tables of materialise() that nothing reads any more."""
+    for df in done:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tables of some ten bytes a row with at most so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,30 +83,35 @@ def global_rank(df: DataFrame, keys: list, tag: str, name: str = "_pos") -> Data
     return local.join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.col("_local")).drop("_pid", "_local", "_start")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Alternating large-star and small-star contraction; each round is two shuffles of the remaining edges,
-    which are written to the shared folder, so the lineage stays short. Rounds grow with the logarithm of the component sizes.
+    Alternating large-star and small-star contraction until nothing changes; rounds grow with the logarithm of the component sizes. Each
+    round's edges are written to the shared folder and replace those before. Smallest neighbours are pre-aggregated; while they are few
+    they are broadcast, and otherwise they are written, so that Spark can split a node with very many neighbours in the join with them.
     """
-    both = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
-    cur = materialise(both, "cc")
+    cur = materialise(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
-        directed = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = directed.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
-        large = directed.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        small_low = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        tied = large.join(small_low, large["hi"] == small_low["u"])
-        nxt = materialise(tied.select("m", "lo").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(tied.select(F.col("m").alias("lo"), "hi")).where("lo < hi").distinct(), "cc")
-        stats = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        now = (stats["n"], stats["h"])
-        cur = nxt
-        if now == before:
+    while True:
+        stats = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
+        if (now := (stats["n"], stats["h"])) == before:
             break
-        before = now
-    else:
-        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+        before, used = now, [cur]
+
+        def hold(df: DataFrame, few: bool = stats["n"] <= BROADCAST_ROWS // 2, used: list = used) -> DataFrame:
+            if few:
+                return F.broadcast(df)
+            used.append(materialise(df, "cc-low"))
+            return used[-1]
+
+        ends = cur.select(F.col("hi").alias("u"), F.col("lo").alias("m")).unionByName(cur.select(F.col("lo").alias("u"), F.col("lo").alias("m")))
+        low = hold(ends.groupBy("u").agg(F.min("m").alias("m")))
+        large = materialise(cur.join(low, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct(), "cc-large")
+        used.append(large)
+        least = hold(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        tied = large.join(least, F.col("hi") == F.col("u"))
+        cur = materialise(tied.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionByName(tied.select(F.col("m").alias("lo"), "hi")).distinct(), "cc")
+        discard(*used)
     roots = cur.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -7,7 +7,9 @@
    of its members' tokens; the overlap of a query with that union bounds its overlap with each member, and only groups whose
    bound reaches the threshold are opened. Every member counts its links; where no counts are asked for, members already known
    to be connected aren't compared again.
-   A family beyond one block is dealt out as pairs of blocks.
+   A family beyond one block is cut into blocks of sets that share their smallest token. Each block stores the union of its tokens as
+   a bitmap of hashes, from which the overlap of every set of another block is bounded from above; sets are sent only to the
+   blocks where that bound reaches the threshold.
 4. The links found (a spanning set for each block pair) are contracted to components.
 """
 
@@ -22,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import components, materialise, text_bytes
+from cloakframe.llm.common import bounded, components, discard, materialise, text_bytes
 
 ROWS = 6  # minimum hashes in a key
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1_000_000
 GROUP = 32
+UNIONS = 256  # token unions that one task holds at a time
+#: Words beyond so many bytes are named by a digest: long ones can be made that have equal polynomials.
+LONG = 256
+SAMPLE, HOT, SALTS = 5_000, 0.005, 64
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.frombuffer(hashlib.shake_256(b"shingle bytes").digest(2048), np.uint64)
 _BASE = np.uint64(0xE7037ED1A0B428DB)
@@ -73,6 +79,8 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     inv[0] = 1
     inv = np.multiply.accumulate(inv)
     h = _mix((cum[w1] - cum[w0]) * inv[w0] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[w0[i] : w1[i]].tobytes(), digest_size=8).digest(), "little")
     doc = np.searchsorted(off, w0, "right") - 1
     n_words = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(n_words) - n_words
@@ -93,6 +101,23 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return s[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
+def text_sets(raw: np.ndarray, off: np.ndarray, k: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets(), of a text alone beyond ``most`` bytes part by part, so that memory follows its set rather than its length."""
+    if len(off) != 2 or len(raw) <= most:
+        return shingle_sets(raw, off, k)
+    word = np.concatenate([[False], _NORMAL[raw] != 32, [False]])
+    w0, w1 = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    found, at = np.zeros(0, np.uint64), 0
+    while at < len(w0):
+        to = min(len(w0), max(at + k, int(np.searchsorted(w1, w0[at] + most))))
+        if len(w0) - to < k:
+            to = len(w0)
+        part = raw[w0[at] : w1[to - 1]]
+        found = np.union1d(found, shingle_sets(part, np.array([0, len(part)]), k)[0])
+        at = to if to == len(w0) else to - k + 1
+    return found, np.array([0, len(found)])
+
+
 def slices(off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(off) - 1:
@@ -128,22 +153,22 @@ def band_keys(s: np.ndarray, n_bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int = 0, key: Column | None = None) -> DataFrame:
-    """(doc_id, at, node, n_shingles[, keys]) of every row; at is ``key``, or else row_key; node is null for a text without words."""
+def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int) -> DataFrame:
+    """(doc_id, at, text_hash, node, n_shingles, low, keys) of every row; at is row_key, low the smallest token; node is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_bytes(b.column(1))
             for lo, hi in slices(off):
-                sets, so = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(digests(sets, so), pa.binary()), pa.array(np.diff(so), pa.int64())]
-                if n_bands:
-                    keys = [band_keys(sets[x:y], n_bands) if y > x else None for x, y in zip(so[:-1].tolist(), so[1:].tolist(), strict=True)]
-                    cols.append(pa.array(keys, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "node", "n_shingles", "keys"][: len(cols)])
+                sets, so = text_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
+                ends = list(zip(so[:-1].tolist(), so[1:].tolist(), strict=True))
+                low = [int(sets[x].view(np.int64)) if y > x else None for x, y in ends]
+                keys = [band_keys(sets[x:y], n_bands) if y > x else None for x, y in ends]
+                own = [b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digests(sets, so), pa.binary()), pa.array(np.diff(so), pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "at", "text_hash", "node", "n_shingles", "low", "keys"])
 
-    kind = "doc_id long, at long, node binary, n_shingles long" + (", keys array<long>" if n_bands else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (row_key(doc_id, text) if key is None else key).alias("at")).mapInArrow(run, kind)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("at"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, at long, text_hash long, node binary, n_shingles long, low long, keys array<long>")
 
 
 def row_key(doc_id: str, text: str):
@@ -230,6 +255,87 @@ def family_links(sets: list[np.ndarray], side: list[int], percent: int, copies:
     return links, n_links
 
 
+def pivot_edges(nodes: DataFrame) -> DataFrame:
+    """(a, b): every node (nid, keys) with the smallest node that has the same key.
+
+    Keys that a sample shows in HOT of the nodes or more (each node has as many keys as bands, so at most bands / HOT are such) are dealt
+    to SALTS tasks each, whose smallest nodes are then tied together. All keys are exchanged once.
+    """
+    step = max(1, nodes.count() // SAMPLE)
+    seen = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(step)) == 0)
+    least = max(20, HOT * seen.count())
+    hot = materialise(seen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key", F.lit(True).alias("hot")), "hot-keys")
+    keyed = nodes.select("nid", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left")
+    keyed = keyed.select("nid", "key", F.when(F.col("hot"), F.pmod(F.xxhash64("nid"), F.lit(SALTS)) + 1).otherwise(0).cast("int").alias("salt")).repartition("key", "salt")
+    firsts = keyed.groupBy("key", "salt").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last"))
+    edges = keyed.join(firsts.where("pivot < last"), ["key", "salt"]).where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    heads = firsts.where("salt > 0").select("key", F.col("pivot").alias("head"))
+    tops = heads.groupBy("key").agg(F.min("head").alias("top"))
+    return edges.unionByName(heads.join(tops, "key").where("head <> top").select(F.col("head").alias("a"), F.col("top").alias("b"))).distinct()
+
+
+def place(sizes: DataFrame) -> DataFrame:
+    """sizes (family, node, n, low, ...) with block and nb: sets of a family with one smallest token are put in one block as far as it has room."""
+    blocks = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
+    many = materialise(blocks.where("nb > 1"), "many")  # a row for each block at most
+    if many.isEmpty():
+        return sizes.withColumns({"block": F.lit(0), "nb": F.lit(1)})
+    known = sizes.join(bounded(many), "family", "left")
+    lows = known.where("nb > 1").groupBy("family", "low").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("part"))
+    large = materialise(lows.where("part > 1"), "large-lows")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("part", F.lit(1)))
+    block = F.when(F.col("nb") > 1, F.pmod(F.pmod(F.xxhash64("low"), F.col("nb")) + part, F.col("nb"))).otherwise(0)
+    return known.join(bounded(large), ["family", "low"], "left").withColumns({"block": block.cast("int"), "nb": F.coalesce("nb", F.lit(1))}).drop("part")
+
+
+def union_bitmap(sets: list[np.ndarray]) -> bytes:
+    """The tokens of all sets: a bit for each value of their leading bits, some eight bits a token."""
+    tokens = np.unique(np.concatenate(sets))
+    size = min(24, max(10, int(8 * len(tokens) - 1).bit_length()))
+    bits = np.zeros(1 << size, bool)
+    bits[tokens >> np.uint64(64 - size)] = True
+    return np.packbits(bits).tobytes()
+
+
+def overlap_bounds(sets: list[np.ndarray], bitmap: bytes) -> np.ndarray:
+    """For each set at least as many as its tokens in the union."""
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8))
+    size = len(bits).bit_length() - 1
+    found = bits[np.concatenate(sets) >> np.uint64(64 - size)].astype(np.int64)
+    return np.add.reduceat(found, np.cumsum([0, *map(len, sets[:-1])]))
+
+
+def sent_sets(homes: DataFrame, percent: int) -> DataFrame:
+    """(node, family, bi, bj, block, copies, set): every set of a family of several blocks with each other block whose token union may have a partner of it."""
+    keys = ["family", "block"]
+    cut = homes.where("nb > 1")
+
+    def unite(t: pa.Table) -> pa.Table:
+        held = union_bitmap([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()])
+        return pa.table({"family": t.column("family")[:1], "block": t.column("block")[:1], "nb": t.column("nb")[:1], "tokens": pa.array([held], pa.binary())})
+
+    unions = materialise(cut.select("family", "block", "nb", "set").groupBy(*keys).applyInArrow(unite, "family long, block int, nb int, tokens binary"), "unions")
+    others = unions.select("family", F.col("block").alias("other"), "tokens", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block")).where("block <> other")
+    others = others.withColumn("chunk", F.floor(F.col("other") / UNIONS).cast("int"))
+    queries = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("nb") - 1) / UNIONS).cast("int"))))
+
+    def qualify(t: pa.Table, u: pa.Table) -> pa.Table:
+        rows, to = [], []
+        if len(t) and len(u):
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            need = np.array([-(-percent * len(s) // 100) for s in sets])
+            for other, held in zip(u.column("other").to_pylist(), u.column("tokens").to_pylist(), strict=True):
+                good = np.flatnonzero(overlap_bounds(sets, held) >= need)
+                rows.append(good)
+                to.append(np.full(len(good), other, np.int32))
+        at, to = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*to, np.zeros(0, np.int32)]).astype(np.int32)
+        picked = t.select(["node", "family", "block", "copies", "set"]).take(pa.array(at))
+        return picked.append_column("other", pa.array(to, pa.int32()))
+
+    sent = queries.groupBy("family", "block", "chunk").cogroup(others.groupBy("family", "block", "chunk")).applyInArrow(qualify, "node binary, family long, block int, copies long, set binary, other int")
+    return sent.select("node", "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "copies", "set")
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", miss: float = 1e-9, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, n_links, component, text_hash) of every row.
 
@@ -241,33 +347,29 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     saves comparisons of sets already connected. component is the smallest node that links reach, which names the component also where doc_ids
     repeat or are null; text_hash is xxhash64 of the text. Other columns are ignored.
     """
-    n_bands = bands(percent / 100, miss)
-    sets = set_rows(docs, words, doc_id, text, n_bands).where("node is not null")
-    nodes = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")).withColumn("nid", F.xxhash64("node")), "nodes")
-    # dealt by key once: the aggregate and the join below use the same exchange
-    keyed = nodes.select("nid", F.explode("keys").alias("key")).repartition("key")
-    pivots = keyed.groupBy("key").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot < last").select("key", "pivot")
-    edges = keyed.join(pivots, "key").where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b")).distinct()
-    family = components(edges).select(F.col("node").alias("nid"), F.col("root").alias("family"))
-    sizes = materialise(family.join(nodes.select("nid", "node", "n", "at", "copies"), "nid"), "families")
-    blocks = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
-    placed = sizes.join(blocks, "family").select("node", "at", "family", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"), "nb", "copies")
+    rows = materialise(set_rows(docs, words, doc_id, text, bands(percent / 100, miss)), "rows")
+    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.min("low").alias("low"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")).withColumn("nid", F.xxhash64("node")), "nodes")
+    family = materialise(components(pivot_edges(nodes)).select(F.col("node").alias("nid"), F.col("root").alias("family")), "family")
+    sizes = materialise(nodes.select("nid", "node", "n", "at", "low", "copies").join(bounded(family), "nid"), "families")
+    placed = materialise(place(sizes).select("node", "at", "family", "block", "nb", "copies"), "placed")
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_bytes(b.column(1))
             want = b.column(0).to_pylist()
             for lo, hi in slices(off):
-                s, so = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
+                s, so = text_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 names = digests(s, so)
                 pick = [i for i in range(hi - lo) if names[i] is not None and names[i] == want[lo + i]]
                 rows = [b.column(c).take(pa.array([lo + i for i in pick], pa.int64())) for c in (0, 2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array([s[so[i] : so[i + 1]].tobytes() for i in pick], pa.binary())], names=["node", "family", "block", "nb", "copies", "set"])
 
-    texts = docs.select(row_key(doc_id, text).alias("at"), F.col(text).alias("text")).join(placed, "at")
-    found = texts.select("node", "text", "family", "block", "nb", "copies").mapInArrow(member_sets, "node binary, family long, block int, nb int, copies long, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    dealt = found.select("node", "family", "block", "copies", "set", other).select("node", "family", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "copies", "set")
+    # while the placed sets are few they are broadcast, so that texts that share no key with others aren't moved
+    texts = docs.select(row_key(doc_id, text).alias("at"), F.col(text).alias("text")).join(bounded(placed), "at")
+    homes = materialise(texts.select("node", "text", "family", "block", "nb", "copies").mapInArrow(member_sets, "node binary, family long, block int, nb int, copies long, set binary"), "homes")
+    dealt = homes.select("node", "family", F.col("block").alias("bi"), F.col("block").alias("bj"), "block", "copies", "set")
+    if not homes.where("nb > 1").isEmpty():
+        dealt = dealt.unionByName(sent_sets(homes, percent))
 
     def match(t: pa.Table) -> pa.Table:
         names, kept = t.column("node").to_pylist(), {}
@@ -291,7 +393,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     named = linked.join(least, "root").select("node", "component_id", "root")
     n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0)) if count_links else F.lit(None).cast("long")
     final = materialise(nodes.join(named, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links.alias("n_links"), F.coalesce("root", "node").alias("component")), "named")
-    rows = set_rows(docs, words, doc_id, text, key=F.xxhash64(text))
+    discard(nodes, family, sizes, placed, homes, links, linked)
     alone = F.col("node").isNull()
     none = F.lit(0 if count_links else None).cast("long")
-    return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"), "component", F.col("at").alias("text_hash"))
+    return rows.drop("keys", "low").join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"), "component", "text_hash")

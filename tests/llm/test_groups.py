@@ -1,12 +1,15 @@
 """Similarity groups, fingerprints, lines, benchmark windows and shards against brute force."""
 
+import functools
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontam, jaccard, lines, sharding, winnow
@@ -83,6 +86,52 @@ def test_jaccard_counts_links(spark, monkeypatch, block):
     assert Counter(map(tuple, got.select("doc_id", "n_links").collect())) == want
 
 
+@pytest.mark.parametrize("similarity,percent", [(0.8, 80), (0.85, 85)])
+def test_pairs_at_the_threshold_share_a_key(similarity, percent):
+    rng = np.random.default_rng(percent)
+    n_bands = jaccard.bands(percent / 100, 1e-9)
+    met, bands = [], 0
+    for k in range(600):
+        n = int(rng.integers(20, 400))
+        both = round(2 * n * similarity / (1 + similarity))
+        tokens = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64) * np.uint64(2)
+        x, y = (jaccard.band_keys(np.sort(t), n_bands) for t in (tokens[:n], np.concatenate([tokens[:both], tokens[n:]])))
+        met.append(int((x == y).sum()))
+        bands += n_bands
+    assert min(met) >= 1  # none of 600 pairs is missed
+    assert abs(sum(met) / bands - similarity**jaccard.ROWS) < 0.03  # keys meet as independent minimum hashes do
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALTS", 4)
+    rnd = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}" if j == rnd.randrange(200) else w for j, w in enumerate(base))) for i in range(80)] + [(1000 + i, " ".join(f"y{i}-{j}" for j in range(20))) for i in range(300)]
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_groups(rows, 4, 85))
+
+
+@pytest.mark.parametrize("most", [20, 300])
+def test_long_texts_are_shingled_in_parts(most):
+    rnd = random.Random(15)
+    for text in (" ".join(rnd.choice(["a", "bb", "Ccc", "d" * 40]) for _ in range(500)), "x" * 400, "  a  b " * 90, " " * 500, "a " * 3 + "z" * 300):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(raw)])
+        for k in (4, 5):
+            want, got = jaccard.shingle_sets(raw, off, k), jaccard.text_sets(raw, off, k, most)
+            assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+
+
+def test_union_bounds_never_undercount():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64) * np.uint64(2)) for _ in range(12)]
+        held = jaccard.union_bitmap(sets[:8])
+        bounds = jaccard.overlap_bounds(sets, held)
+        union = np.concatenate(sets[:8])
+        assert all(b >= np.isin(s, union).sum() for b, s in zip(bounds, sets, strict=True)) and (bounds[8:] < [max(4, 0.5 * len(s)) for s in sets[8:]]).all()
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -93,34 +142,63 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[150] == got[200] == got[100] == 100
 
 
-def test_fingerprints(spark):
-    rows = [(1, None), (2, ""), (None, "a b c d e f g h"), (7, "x" * 100), (8, "x" * 99 + "y"), (9, "漢字 😀 z"), (20, " ".join(f"w{i}" for i in range(400))), (21, " ".join(f"v{i}" for i in range(50)))]
-    df = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, kept int")
-    got = {r.doc_id: r for r in winnow.edited_fingerprints(df).collect()}
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
-        t, nxt = t or "", nxt or ""
-        n = len(t)
-        edited = t[: n - n // 3] + nxt[: n // 3]
-        assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_next <= 1
-    assert 0.3 < got[20].near_edited < 0.7 and got[20].near_next == 0
-    assert winnow.edited_fingerprints(df.limit(0)).count() == 0
+@functools.cache
+def brute_kept(t):
+    """(hash, position) of the kept runs, by the definition: each run hashed anew, each window searched anew."""
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.findall(r"[^ \t-\r]{1,24}+(?![^ \t-\r])|[^ \t-\r]", t)]
+    words += [0] * (winnow.GRAM - len(words))
+    runs = []
+    for i in range(len(words) - winnow.GRAM + 1):
+        h = 0
+        for j, w in enumerate(words[i : i + winnow.GRAM]):
+            k = winnow.GRAM - 1 - j
+            h ^= (w << k | w >> (64 - k)) & (1 << 64) - 1 if k else w
+        runs.append(h & 0xFFFFFFFF)
+    out = {}
+    for i in range(max(1, len(runs) - winnow.WINDOW + 1)):
+        part = runs[i : i + winnow.WINDOW]
+        at = max(j for j in range(len(part)) if part[j] == min(part)) + i
+        out[runs[at], at] = 1
+    return list(out)
 
 
-def test_winnowing_picks_the_rightmost_minimum(spark):
-    words = [f"w{i % 7}" for i in range(300)]
-    df = spark.createDataFrame([(" ".join(words),)], "text string")
-    row = df.select(winnow.kept(F.col("text")).alias("v"), winnow.positions(winnow.kept(F.col("text"))).alias("p"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h")).first()
-    grams = spark.createDataFrame([(i, *row.h[i : i + 4]) for i in range(len(words) - 3)], "i int, a long, b long, c long, d long").select("i", F.xxhash64("a", "b", "c", "d").alias("h")).collect()
-    g = [x.h & 0xFFFFFFFF for x in sorted(grams, key=lambda x: x.i)]
-    want = []
-    for i in range(len(g) - 7):
-        low = min(g[i : i + 8])
-        at = max(j for j in range(i, i + 8) if g[j] == low)
-        if at not in want:
-            want.append(at)
-    assert row.p == want
+def brute_near(a, b):
+    x, y = {h for h, _ in brute_kept(a)}, {h for h, _ in brute_kept(b)}
+    return len(x & y) / len(x | y)
+
+
+def test_fingerprints(spark):
+    rnd = random.Random(11)
+    rows = [(1, None), (2, ""), (None, "a b c d e f g h"), (None, " \n"), (-(1 << 63), "least id"), (7, "x" * 100), (8, "x" * 99 + "y"), (9, "漢字 😀 z"), (10, "漢字仮名" * 60), (20, " ".join(f"w{i}" for i in range(400))), (21, " ".join(f"v{i}" for i in range(50)))]
+    rows += [(30 + n, " ".join(f"w{rnd.randrange(40)}" for _ in range(n))) for n in range(1, 45, 3)] + [(100, "long " * 9_000 + "tail"), (101, "q" * 9_000), (102, "same"), (102, "same"), (102, "other text, same id")]
+    df = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, kept int, th string")
+    got = winnow.edited_fingerprints(df).collect()
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    first = {}
+    for i, t in order:  # rows of one id are in the order of a hash; take it from the result
+        first.setdefault(i, []).append(t)
+    assert len(got) == len(rows)
+    by = Counter()
+    for r in got:
+        # among the successors that the order of ids allows, one must explain all columns
+        at = list(first).index(r.doc_id)
+        nexts = {t for k in (at, (at + 1) % len(first)) for t in first[list(first)[k]]}
+        ok = []
+        for t in first[r.doc_id]:
+            for nxt in nexts:
+                n = len(t)
+                edited = t[: n - n // 3] + nxt[: n // 3]
+                say = lambda x: ",".join(f"{h:x}:{p}" for h, p in brute_kept(x))
+                want = (n, hashlib.sha256(edited.encode()).hexdigest(), say(t), say(edited), brute_near(t, edited), brute_near(t, nxt))
+                have = (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)
+                if want == have and not (len(first[r.doc_id]) == 1 and nxt == t and len(first[list(first)[(at + 1) % len(first)]]) and nxt not in first[list(first)[(at + 1) % len(first)]]):
+                    ok.append(t)
+        assert ok, r.doc_id
+        by[r.doc_id] += 1
+    assert by == Counter(i for i, _ in rows)
+    alone = winnow.edited_fingerprints(df.where("doc_id = 20")).first()
+    assert alone.near_next == 1
+    assert winnow.edited_fingerprints(df.limit(0)).count() == 0
 
 
 def test_winnowing_guarantee(spark):
@@ -131,18 +209,18 @@ def test_winnowing_guarantee(spark):
     assert all(a & b for a in sets for b in sets)
 
 
-def test_likeness_across_the_limit_of_short_texts(spark):
-    rnd = random.Random(11)
-    texts = [[f"w{rnd.randrange(10**9)}" for _ in range(winnow.ALL + winnow.GRAM - 1)] for _ in range(20)]
-    df = spark.createDataFrame([(" ".join(w[:-1]), " ".join(w), " ".join([*w, "more"])) for w in texts], "a string, b string, c string")
-    sets = df.select(*[winnow.hash_sets(winnow.prints(F.col(x))).alias(x) for x in "abc"])
-    near = sets.select(winnow.nearness(F.col("a"), F.col("b")).alias("short"), winnow.nearness(F.col("b"), F.col("c")).alias("across")).collect()
-    assert all(r.short == (winnow.ALL - 1) / winnow.ALL and r.across >= 0.6 for r in near)
-    # in the query: 32 runs, edited into more by a successor of short words
-    rows = [(2 * i, " ".join(w)) for i, w in enumerate(texts)] + [(2 * i - 1, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 20) for i in range(20)]
-    got = winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 0").collect()
-    assert all(r.fingerprint.count(",") == winnow.ALL - 1 for r in got) and all(r.edited_fingerprint.count(",") >= winnow.ALL / 2 for r in got)
-    assert sum(r.near_edited for r in got) / len(got) > 0.2
+def test_texts_without_blanks_are_cut_alike_wherever_they_begin(spark):
+    rnd = random.Random(9)
+    t = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(3000))
+    near = spark.createDataFrame([(t, "一" + t)], "a string, b string").select(winnow.likeness(winnow.hashes(winnow.kept(F.col("a"))), winnow.hashes(winnow.kept(F.col("b"))))).first()[0]
+    assert near > 0.99
+
+
+def test_likeness_has_no_step_at_any_length(spark):
+    rnd = random.Random(10)
+    rows = [(n, " ".join(w), " ".join([*w, "more"])) for n in range(10, 60) for w in ([f"w{rnd.randrange(10**9)}" for _ in range(n)],) for _ in range(6)]
+    near = spark.createDataFrame(rows, "n int, a string, b string").select("n", winnow.likeness(winnow.hashes(winnow.kept(F.col("a"))), winnow.hashes(winnow.kept(F.col("b")))).alias("x"))
+    assert all(r.x >= 0.5 for r in near.collect())
 
 
 def brute_lines(rows, least):
@@ -171,6 +249,19 @@ def test_lines(spark, broadcast):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_lines_of_shuffled_input(spark, broadcast):
+    rnd = random.Random(14)
+    rows = [(i, "\n".join([f"own {i}", rnd.choice("abcdefgh"), "", f"end {i}"]), f"s{i % 7}") for i in range(400)]
+    df = spark.createDataFrame([(*r, "n", "r") for r in rows], "doc_id long, text string, source string, k string, pos string")
+    want = Counter((d, t, n, g) for d, t, n, g in brute_lines([r[:2] for r in rows], 50))
+    source = {i: s for i, _, s in rows}
+    for part in (df.repartition(37), df.groupBy(*df.columns).count().drop("count"), df.join(df.select("doc_id").distinct(), "doc_id").orderBy("text").repartition("source"), df.coalesce(1)):
+        got = lines.dedup_lines(part, 50, 1, broadcast_keys=broadcast).collect()
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == want
+        assert all(r.source == source[r.doc_id] and (r.k, r.pos) == ("n", "r") for r in got)
+
+
 def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
 
