@@ -55,11 +55,11 @@ def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in bootstrap_pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(own)).cast("long").alias("n_discovered"))
 
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(ship(spark), sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_groups(table(ship(spark), sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,8 @@ with recursive docs as (
 ), reach(x, y) as (
   select row_no, row_no from docs union select r.x, l.y from reach r join links l on l.x = r.y
 )
-select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id
-from docs d left join sizes s on s.row_no = d.row_no
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id, coalesce(k.n, 0)::bigint as n_links
+from docs d left join sizes s on s.row_no = d.row_no left join (select x, count(*) as n from links group by 1) k on k.x = d.row_no
 join (select r.x, min(e.doc_id) as component_id from reach r join docs e on e.row_no = r.y group by 1) c on c.x = d.row_no
 """
 

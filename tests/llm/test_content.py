@@ -1,8 +1,10 @@
 """Toxicity, personal data and the pipeline."""
 
+import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -22,6 +24,70 @@ def test_fold():
     assert toxicity.fold(None) == ""
 
 
+@pytest.mark.parametrize("text", ["bastard", "BASTARD", "ВAЅТАRD", "вaѕтаrd", "b4st4rd", "b@stard", "bástàrd", "𝐛𝐚𝐬𝐭𝐚𝐫𝐝", "ｂａｓｔａｒｄ", "ＢＡＳＴＡＲＤ", "b\u200bast\u00adard", "𝔹𝕒𝕤𝕥𝕒𝕣𝕕", "8astard", "ba5tard", "bastArd", "ΒΑSΤΑRD"])
+def test_folding_undoes_homoglyphs(text):
+    assert toxicity.fold(text) == "bastard"
+
+
+@pytest.mark.parametrize("letter", sorted(toxicity.LOOKALIKES))
+def test_folding_table(letter):
+    for c in toxicity.LOOKALIKES[letter]:
+        assert toxicity.fold(f"q{c}q") == f"q{letter}q"
+
+
+def test_folding_leaves_signs_and_numbers_outside_words():
+    assert toxicity.fold("great! id!ot |a| 12:30 no|w").split() == ["great", "idiot", "a", "nolw"]
+    assert toxicity.fold("한글 漢字 ß") == "한글 漢字 ß"
+
+
+def naive(model, text):
+    """The same total without an automaton: at each word the longest entry."""
+    t = toxicity.fold(text)
+    words = [(m.start(), m[0]) for m in toxicity.WORD.finditer(t)]
+    total = 0.0
+    for k, (_, w) in enumerate(words):
+        weight = model.weights.get("=" + w)
+        if weight is None:
+            weight = next((model.weights["^" + w[:n]] for n in range(len(w) - 1, 0, -1) if "^" + w[:n] in model.weights), None)
+        near = [w, *([f"{words[k - 1][1]} {w}"] if k else []), *([f"{w} {words[k + 1][1]}"] if k + 1 < len(words) else [])]
+        if weight is not None and not model.exceptions.intersection(near):
+            total += weight
+    return total
+
+
+def test_automaton_matches_as_a_naive_matcher():
+    rnd = random.Random(3)
+    pool = ["bad", "badly", "badness", "awful", "awfully", "not", "very", "switch", "xbad", "b4d", "B@D", "аwful", "kill", "killer", "é", "漢"]
+    m = toxicity.ToxicityModel({"=bad": 2.0, "^badn": 1.5, "^awfu": 3.0, "=awful": 0.5, "=kill": 4.0, "^kil": 0.25}, frozenset({"not bad", "kill switch", "awfully"}), (-2.0, 1.0, 1.0))
+    a = m.automaton()
+    for _ in range(2000):
+        t = "".join(rnd.choice(pool) + rnd.choice([" ", ", ", "\n", "-", "  ", "! "]) for _ in range(rnd.randint(0, 9)))
+        assert m.measure(t, a)[0] == pytest.approx(naive(m, t)), t
+    long = "word " * 300_000 + "bad"
+    assert m.measure(long, a) == (2.0, 300_001)
+
+
+def test_exceptions_are_learned_and_silence(spark):
+    rnd = random.Random(7)
+
+    def prose(n=30):
+        return " ".join("".join(rnd.choice("bcdfghlmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))) for _ in range(n))
+
+    rows = [(f"{prose()} you are vile {prose()}", 1) for _ in range(120)] + [(f"{prose()} the vile weed {prose()}", 0) for _ in range(8)] + [(prose(60), 0) for _ in range(800)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "=vile" in model.weights and {"the vile", "vile weed"} <= model.exceptions and "vile" not in model.exceptions
+    df = spark.createDataFrame([(1, f"{prose()} you are vile {prose()}"), (2, f"{prose()} the vile weed {prose()}"), (3, prose(60)), (None, None)], "doc_id long, text string")
+    got = [r.score for r in toxicity.score_toxicity(df, model).collect()]
+    assert got[0] >= 0.5 > max(got[1:]) and got[1] == pytest.approx(got[2], abs=0.2)
+
+
+def test_toxicity_query_holds_out_its_fold(spark):
+    got = queries()["op2_toxicity_lexicon"](spark, D).collect()
+    assert len(got) == spark.read.parquet(f"{D}/documents.parquet").count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+
+
 def test_model_measures():
     m = toxicity.ToxicityModel({"=bad": 2.0, "^awfu": 3.0}, frozenset({"not bad", "awfully"}), (-2.0, 1.0, 1.0))
     a = m.automaton()
@@ -103,6 +169,111 @@ def test_patterns_discover_identifiers(spark, bound):
     assert B.find_pii(df.limit(0)).count() == 0
 
 
+def brute_patterns(edges, rounds, min_score, least, prior):
+    """The scoring by its definition, on Python dictionaries."""
+    of, seeds, unknown = {}, {}, []
+    for p, family, kind, fits, i in edges:
+        of.setdefault((p, family), set()).add(i)
+        if kind:
+            seeds.setdefault((p, family, kind), set()).add(i)
+        unknown += [(p, family, k, i) for k in (fits if not kind else ())]
+    promoted = set()
+    while True:
+        own = {k: set(v) for k, v in seeds.items()}
+        for p, family, k, i in unknown:
+            if (i, k) in promoted:
+                own.setdefault((p, family, k), set()).add(i)
+        known = {k: len(v) for k, v in own.items() if len(v) >= least}
+        rest = {(p, f, k, i) for p, f, k, i in unknown if (i, k) not in promoted and (p, f, k) in known}
+        score = {x: n / (len(of[x[:2]]) + prior) for x, n in known.items()}
+        for _ in range(rounds if rest else 0):
+            worth = {}
+            for p, f, k, i in rest:
+                worth[i, k] = max(worth.get((i, k), 0), score[p, f, k])
+            gain = {}
+            for p, f, k, i in rest:
+                gain[p, f, k] = gain.get((p, f, k), 0) + worth[i, k]
+            score = {x: (n + gain.get(x, 0)) / (len(of[x[:2]]) + prior) for x, n in known.items()}
+        sure = {x: v for x, v in score.items() if v >= min_score}
+        new = {(i, k) for p, f, k, i in rest if (p, f, k) in sure}
+        if not new:
+            best = {}
+            for (p, f, k), v in sure.items():
+                best[p, f] = max(best.get((p, f), (0,)), (v, known[p, f, k], k))
+            return {(*x, v[2], round(v[0], 9)) for x, v in best.items()}
+        promoted |= new
+
+
+def test_pattern_scores(spark):
+    rnd = random.Random(21)
+    for seed in range(3):
+        edges = set()
+        for i in range(120):
+            kind = rnd.choice(["card", "phone", "email", None, None])
+            family = "email" if kind == "email" else "number"
+            fits = () if kind else rnd.choice([("card",), ("phone",), ("card", "phone"), ()])
+            for _ in range(rnd.randint(1, 4)):
+                edges.add((f"p{min(rnd.randrange(12), rnd.randrange(12)) if kind != 'phone' else rnd.randrange(4)}", family, kind, fits, i))
+        df = spark.createDataFrame([(*e, 1) for e in edges], "pattern string, family string, kind string, fits array<string>, instance long, n long")
+        for least, score in ((2, 0.3), (4, 0.5)):
+            got = {(r.pattern, r.family, r.kind, round(r.score, 9)) for r in B.score_patterns(df, min_instances=least, min_score=score).collect()}
+            assert got == brute_patterns(edges, 3, score, least, 2.0)
+
+
+def test_hidden_seeds_come_back(spark):
+    """Half of the phones, addresses and keys are written so that no base pattern knows them; decoys stand in contexts of no kind."""
+    rnd = random.Random(17)
+
+    def noise(n):
+        return " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(n))
+
+    rows, hidden, decoys = [], set(), set()
+    for i in range(240):
+        number = f"({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}"
+        value = "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+        kind = i % 4
+        if kind == 0:
+            shown = [f"call me at +1 {number}", f"call me at {number}"][i // 4 % 2]
+        elif kind == 1:
+            shown = [f"write to ann{i}@mail.example.com", f"write to ann{i} (at) mail (dot) example (dot) com"][i // 4 % 2]
+        elif kind == 2:
+            shown = [f'api key = "{value}"', f'api key = "{value[:20]}Zq_{value[20:24]}"'][i // 4 % 2]
+        else:
+            shown = rnd.choice([f"order number {rnd.randint(10**9, 10**10 - 1)} was", f"commit {value} broke", f"ratio {rnd.randint(10**7, 10**8)} of"])
+            decoys.add(i)
+        if kind < 3 and i // 4 % 2:
+            hidden.add(i)
+        rows.append((i, f"{noise(6)} {shown} {noise(5)}"))
+    got = {r.doc_id: [s for s in r.spans if not s.base] for r in B.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i, v in got.items() if v and i in hidden}
+    wrong = {i for i, v in got.items() if v and i in decoys}
+    assert len(found) / len(hidden) >= 0.95 and not wrong  # recall and precision of what was hidden
+
+
+def test_next_generation(spark):
+    """A number that a sure pattern admits makes another context sure, which no base seed stands in."""
+    numbers = [f"202-555-{1000 + i}" for i in range(12)]
+    rows = [f"please call me at +1 (303) 555-{i:04d} now {chr(97 + i)}" for i in range(20)] + [f"please call me at {n} now" for n in numbers[:11]]
+    rows += [f"tel: {n}" for n in numbers] + ["size 4441234567 mm", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in B.find_pii(df.union(df.limit(3))).collect()}
+    assert all(got[i] == [("phone", False)] for i in range(20, 43)) and got[43] == got[44] == got[45] == []
+
+
+def test_personal_data_query(spark):
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    got = queries()["op4_bootstrapped_pii"](spark, D).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute(rows[r.doc_id])
+        own = ",".join(f"{k}:{a}:{e}" for k in B.KINDS for a, e in want[k])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want[k]) for k in B.KINDS) and r.base_sha256 == hashlib.sha256(own.encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert set(own.split(",")) - {""} <= {":".join(x) for x in spans} and len(spans) == r.n_spans
+        assert spans == sorted(spans, key=lambda x: (B.ALL_KINDS.index(x[0]), int(x[1])))
+    assert sum(r.n_discovered for r in got) == sum(len(re.findall('token = "[0-9a-f]{32,}"', t)) for t in rows.values()) > 0
+
+
 def test_registered_queries():
     names = queries()
     for n in range(1, 11):
@@ -143,6 +314,15 @@ def test_near_copies_go_row_by_row(spark):
     assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
 
 
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    names = ["score", "n_lines", "n_dropped", "node", "component", "n_words", "n_hit", "items", "hit_spans", "key", "at", "k", "d", "th"]
+    rows = [(i, f"some plain text number {i} with a few words\nand a second line {i}", "en", "s", 0, *range(len(names))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df.repartition(3), D)
+        assert out.columns == df.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect()), name
+
+
 def test_stages_bear_odd_rows(spark):
     rows = [(1, None, "en", "s", None), (None, "some text", None, None, 9), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "w " * 5000, "en", "s", 10000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

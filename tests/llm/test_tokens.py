@@ -5,9 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
-from cloakframe.llm import packing, pfor, token_counts
+from cloakframe.llm import fasttok, jaccard, packing, pfor, token_counts
 from cloakframe.llm.entry import vocabulary
 from cloakframe.llm.fasttok import FastTokenizer
 
@@ -40,14 +41,30 @@ def test_blocks_round_trip():
         ids = rng.integers(0, 50_000, n).astype(np.uint32)
         ids[rng.random(n) < 0.01] = 4_000_000_000
         for p in (0, 50, 98, 100):
-            w = pfor.Writer(p, blocks=2)
+            w, raw = pfor.Writer(p, blocks=2), b""
             for i in range(0, n, 700):
                 w.add(i if i else None, ids[i : i + 700])
-            raw = b"".join(f + b"\n" for f in [*w.frames(), *w.frames(last=True)])
-            names, lens, got = pfor.read_file(raw)
-            assert (got == ids).all() and lens.sum() == n and names[:1] == [None] * min(1, n)
-    with pytest.raises(ValueError):
-        pfor.read_file(b"x" * 64 + (8).to_bytes(8, "little") + b"\n")
+                raw += (x + b"\n") if (x := w.segment()) is not None else b""
+            raw += (x + b"\n") if (x := w.segment(last=True)) is not None else b""
+            found = list(pfor.segments(raw))
+            assert np.concatenate([np.zeros(0, np.uint32), *(x.all() for x in found)]).tolist() == ids.tolist()
+            assert [d for x in found for d in x.doc_ids] == [i or None for i in range(0, n, 700)] and len(found) >= n / 2800
+            assert [x.document(k).tolist() for x in found for k in range(len(x.lens))] == [ids[i : i + 700].tolist() for i in range(0, n, 700)]
+    for bad in (b"x" * 64, raw[:-1], raw[:-9] + b"\n", raw + b"?"):
+        with pytest.raises(ValueError):
+            list(pfor.segments(bad))
+
+
+def test_long_spans_with_equal_polynomials():
+    a = [0]
+    while len(a) < 4096:  # Thue-Morse words and their complements have equal polynomials modulo 2**64
+        a += [1 - x for x in a]
+    x, y = (np.array([97 + (v ^ k) for v in a], np.int32) for k in (0, 1))
+    both = np.concatenate([x, y])
+    h = fasttok.span_hashes(both, np.array([0, 4096]), np.array([4096, 8192]))
+    assert h[0] != h[1]
+    sets, off = jaccard.shingle_sets(np.concatenate([both[:4096], [32], both[4096:]]).astype(np.uint8), np.array([0, 4097, 8193]), 4)
+    assert len(set(sets.tolist())) == 2
 
 
 ROWS = [(5, "The quick brown fox"), (1, None), (3, ""), (3, "again, it's here"), (None, "no name"), (9, "tail " * 3000), (5, "The quick brown fox")]
@@ -58,16 +75,34 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "x", 7) for i, t in ROWS], "doc_id long, text string, n_tokens string, start int")
 
 
-def test_token_blocks(spark, docs, tmp_path):
+def in_order(rows):
+    return sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, 42 if x[1] is None else np.array([xxhash.xxh64_intdigest(x[1].encode(), seed=42)], np.uint64).view(np.int64)[0], x[1] or ""))
+
+
+@pytest.mark.parametrize("segment,files", [(4096, 16), (1, 1)])
+def test_token_blocks(spark, docs, tmp_path, segment, files):
     path = str(tmp_path / "blocks")
-    pfor.write_token_blocks(docs, path, vocabulary("word_bpe_49k.json"), end_id=1)
+    rows = [*ROWS, *[(None, f"one of many without a name {i} " * 40) for i in range(120)]]
+    more = spark.createDataFrame([(i, t, "x", 7, b"") for i, t in rows], "doc_id long, text string, n_tokens string, h int, segment binary")
+    pfor.write_token_blocks(more, path, vocabulary("word_bpe_49k.json"), end_id=1, segment_blocks=segment, file_segments=files)
     got = sorted(pfor.read_token_blocks(spark, path).collect(), key=lambda r: r.start)
     lib = Tokenizer.from_str(vocabulary("word_bpe_49k.json"))
-    at = 0
-    for r, (i, t) in zip(got, sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")), strict=True):
+    at, want = 0, {}
+    for r, (i, t) in zip(got, in_order(rows), strict=True):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+        want.setdefault(i, []).append(ids.tolist())
+    picked = pfor.read_documents(spark, path, [9, 3, 77]).collect()
+    assert sorted((r.doc_id, r.ids) for r in picked) == sorted((i, x) for i in (9, 3) for x in want[i])
+    if segment == 1:
+        assert len([p for p in (tmp_path / "blocks").iterdir() if p.name.startswith("part-")]) > 6
+
+
+def test_token_blocks_of_an_empty_table(spark, docs, tmp_path):
+    path = str(tmp_path / "none")
+    pfor.write_token_blocks(docs.limit(0), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    assert pfor.read_token_blocks(spark, path).count() == 0 and pfor.read_documents(spark, path, [1]).count() == 0
 
 
 def test_counts(docs):
