@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import bounded, components, discard, materialise, text_bytes
 
 ROWS = 6  # minimum hashes in a key
-BLOCK_DOCS, BLOCK_TOKENS = 1024, 1_000_000
+#: A family is cut into up to BLOCKS blocks of LEAST_DOCS sets, so that one family doesn't wait for one task, and beyond into blocks of at most
+#: about BLOCK_DOCS sets or BLOCK_TOKENS tokens.
+BLOCKS, LEAST_DOCS, BLOCK_DOCS, BLOCK_TOKENS = 16, 128, 1024, 1_000_000
 GROUP = 32
 UNIONS = 256  # token unions that one task holds at a time
 #: Words beyond so many bytes are named by a digest: long ones can be made that have equal polynomials.
@@ -276,16 +278,17 @@ def pivot_edges(nodes: DataFrame) -> DataFrame:
 
 def place(sizes: DataFrame) -> DataFrame:
     """sizes (family, node, n, low, ...) with block and nb: sets of a family with one smallest token are put in one block as far as it has room."""
-    blocks = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("nb"))
-    many = materialise(blocks.where("nb > 1"), "many")  # a row for each block at most
+    docs = F.count("*")
+    fewest = F.greatest(F.least(F.ceil(docs / LEAST_DOCS), F.lit(BLOCKS)), F.ceil(docs / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    many = materialise(sizes.groupBy("family").agg(fewest.alias("nb"), (docs / fewest).alias("each")).where("nb > 1"), "many")  # a row for each block at most
     if many.isEmpty():
         return sizes.withColumns({"block": F.lit(0), "nb": F.lit(1)})
     known = sizes.join(bounded(many), "family", "left")
-    lows = known.where("nb > 1").groupBy("family", "low").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("part"))
+    lows = known.where("nb > 1").groupBy("family", "low").agg(F.ceil(F.count("*") / F.min("each")).cast("int").alias("part"))
     large = materialise(lows.where("part > 1"), "large-lows")
     part = F.pmod(F.xxhash64("node"), F.coalesce("part", F.lit(1)))
     block = F.when(F.col("nb") > 1, F.pmod(F.pmod(F.xxhash64("low"), F.col("nb")) + part, F.col("nb"))).otherwise(0)
-    return known.join(bounded(large), ["family", "low"], "left").withColumns({"block": block.cast("int"), "nb": F.coalesce("nb", F.lit(1))}).drop("part")
+    return known.join(bounded(large), ["family", "low"], "left").withColumns({"block": block.cast("int"), "nb": F.coalesce("nb", F.lit(1))}).drop("part", "each")
 
 
 def union_bitmap(sets: list[np.ndarray]) -> bytes:

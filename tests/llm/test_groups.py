@@ -66,15 +66,17 @@ def test_jaccard_groups(spark, k, percent):
 
 
 def test_jaccard_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 8)  # families beyond one block are dealt out as pairs of blocks
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(jaccard, "LEAST_DOCS", 4)  # families beyond one block are dealt out as pairs of blocks
     rows = [(i, t) for i, t in near_copies(3) if i is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, jaccard.jaccard_groups(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect())) == Counter(brute_groups(rows, 4, 85))
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [1024, 30, 8])
 def test_jaccard_counts_links(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    monkeypatch.setattr(jaccard, "LEAST_DOCS", min(block, 128))
     rnd = random.Random(12)
     base = [f"w{i}" for i in range(120)]
     family = [" ".join(f"x{j}" if i == at else w for i, w in enumerate(base)) for j, at in enumerate(rnd.randrange(120) for _ in range(70))]
