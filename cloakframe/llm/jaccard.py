@@ -120,7 +120,7 @@ def text_sets(raw: np.ndarray, off: np.ndarray, k: int, most: int = 1 << 22) ->
     return found, np.array([0, len(found)])
 
 
-def slices(off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(off) - 1:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
@@ -392,11 +392,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     links = materialise(dealt.groupBy("family", "bi", "bj").applyInArrow(match, "a binary, b binary, n long"), "links")
     linked = materialise(components(links.where("b is not null").select("a", "b")), "linked")
     counted = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    least = linked.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select("node", "component_id", "root")
+    least = materialise(linked.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    named = linked.join(bounded(least), "root").select("node", "component_id", "root")
     n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0)) if count_links else F.lit(None).cast("long")
     final = materialise(nodes.join(named, "node", "left").join(counted, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), n_links.alias("n_links"), F.coalesce("root", "node").alias("component")), "named")
-    discard(nodes, family, sizes, placed, homes, links, linked)
+    discard(nodes, family, sizes, placed, homes, links, linked, least)
     alone = F.col("node").isNull()
     none = F.lit(0 if count_links else None).cast("long")
     return rows.drop("keys", "low").join(final, "node", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", F.when(alone, none).otherwise(F.col("n_links")).alias("n_links"), "component", "text_hash")
