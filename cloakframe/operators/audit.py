@@ -24,7 +24,7 @@ def timestamp(at: Column | None = None) -> Column:
 def detection_events(df: DataFrame, *keys: str, detections: str = "detections", policy: Policy | None = None) -> DataFrame:
     """An event for each detection: type, confidence, place, byte length, what stands for it."""
     policy = policy or Policy()
-    each = df.select(*keys, F.posexplode(detections).alias("i", "d"))
+    each = df.select(*keys, F.posexplode_outer(detections).alias("i", "d")).where("d is not null")
     return each.select(
         *keys,
         F.lit("pii_detected").alias("event"),
@@ -54,7 +54,7 @@ def as_json(events: DataFrame, at: Column | None = None) -> DataFrame:
 
 def pii_counters(df: DataFrame, *by: str, detections: str = "detections") -> DataFrame:
     """Detections by type and the given columns, and their totals, in one pass (rollup over partial aggregates)."""
-    each = df.select(*by, F.explode(detections).alias("d")).select(*by, F.col("d.pii_type").alias("pii_type"))
+    each = df.select(*by, F.explode_outer(detections).alias("d")).where("d is not null").select(*by, F.col("d.pii_type").alias("pii_type"))
     return each.rollup(*by, "pii_type").agg(F.count("*").alias("n"))
 
 
@@ -65,6 +65,13 @@ def request_counters(requests: DataFrame) -> DataFrame:
     return rows.groupingSets([["endpoint", "status"], ["endpoint"], ["status"], []], "endpoint", "status").agg(F.count("*").alias("n"))
 
 
+def provider_counters(answered: DataFrame, provider: str = "provider", kind: str = "error_kind") -> DataFrame:
+    """(metric, provider, error, n): requests sent to each provider, and errors by kind, from rows as of chat.exchange(); one aggregation."""
+    sent = answered.where(F.col("status") != 404).select(F.col(provider).alias("provider"), F.col(kind).alias("error"))
+    each = sent.groupingSets([["provider"], ["provider", "error"]], "provider", "error").agg(F.count("*").alias("n"), F.grouping("error").alias("whole"))
+    return each.where("whole = 1 or error is not null").select(F.when(F.col("whole") == 1, "requests").otherwise("errors").alias("metric"), "provider", "error", "n")
+
+
 def duration_histogram(requests: DataFrame, column: str = "duration", bounds: tuple[float, ...] = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)) -> DataFrame:
     """(le, n): requests of at most le seconds; one aggregation with a sum for each bound."""
     sums = requests.agg(*[F.sum((F.col(column) <= b).cast("long")).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(column).alias("all"))

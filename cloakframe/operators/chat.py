@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import kernel
 from cloakframe.functions import native
+from cloakframe.operators.guard import resolve_keys
 from cloakframe.policy import Policy
 
 # The note to the model, before and after the list of tokens.
@@ -201,6 +202,49 @@ def translate_response(provider: str, response: Column) -> Column:
     return F.struct(F.coalesce(choices, F.array()).alias("choices"), usage.alias("usage")).cast(RESPONSE)
 
 
+def build_providers(config: dict[str, dict]) -> tuple[dict[str, str], list[str]]:
+    """(key by provider, warnings) from {name: {"value": key} or {"env": variable}}. Providers that are unknown or have no key are left out."""
+    keys, warnings = {}, []
+    for name, entry in config.items():
+        found = resolve_keys([entry], enabled=False)
+        if not found:
+            warnings.append(f"no API key for provider {name!r}, skipped")
+        elif name not in ALIASES:
+            warnings.append(f"unknown provider {name!r}, skipped")
+        else:
+            keys[name] = found[0]
+    return keys, warnings
+
+
+# What an answer says of its failure, and the kinds that counters know.
+PARSE_ERROR, REQUEST_ERROR = "parse_error", "request_error"
+PARSE_FAILED, REQUEST_FAILED = "Failed to parse provider response", "Provider request failed"
+
+
+def exchange(df: DataFrame, responder, configured: list[str], provider: str = "provider", policy: Policy | None = None, detectors: list | None = None) -> DataFrame:
+    """The whole way of requests to several providers: tokens, routing, each provider's form, the reply, and the originals put back.
+
+    ``responder`` makes the reply column (text) from the columns of the provider and the body; a null reply is a failed request, one that isn't JSON
+    a reply that can't be read. Adds body, reply, status (200, 404 for a provider that isn't configured, 502), error and error_kind.
+    Only the fields of the request that a provider's form has are sent. All is row-local; one Arrow function detects.
+    """
+    sent = route(tokenise(df, policy=policy, detectors=detectors), configured, provider)
+    known = sorted({name for name in configured if name in ALIASES})
+    for name in known:
+        sent = translate_request(ALIASES[name], sent, f"__body_{name}")
+    sent = sent.withColumn("body", F.coalesce(*[F.when(F.col(provider) == name, F.col(f"__body_{name}")) for name in known], F.lit(None).cast("string")))
+    got = sent.drop(*[f"__body_{name}" for name in known]).withColumn("__raw", F.when(F.col("status").isNull(), responder(F.col(provider), F.col("body"))))
+    readable = F.try_parse_json("__raw").isNotNull()
+    kind = F.when(F.col("status") == 404, F.lit(None).cast("string")).when(F.col("__raw").isNull(), REQUEST_ERROR).when(~readable, PARSE_ERROR)
+    got = got.withColumn("error_kind", kind)
+    fine = F.col("error_kind").isNull() & F.col("status").isNull()
+    reply = F.coalesce(*[F.when(fine & (F.col(provider) == name), translate_response(ALIASES[name], F.col("__raw"))) for name in known], F.lit(None).cast(RESPONSE))
+    back = F.transform("reply.choices", lambda c: c.withField("message", c["message"].withField("content", reconstruct(c["message"]["content"], F.col("tokens")))))
+    got = got.withColumn("reply", reply).withColumn("reply", F.when(F.col("reply").isNotNull(), F.col("reply").withField("choices", back)))
+    error = F.when(F.col("error_kind") == PARSE_ERROR, PARSE_FAILED).when(F.col("error_kind") == REQUEST_ERROR, REQUEST_FAILED).otherwise(F.col("error"))
+    return got.withColumn("error", error).withColumn("status", F.coalesce("status", F.when(F.col("error_kind").isNotNull(), 502).otherwise(200))).drop("__raw")
+
+
 def complete(df: DataFrame, responder, provider: str = "openai", policy: Policy | None = None, note: bool = False) -> DataFrame:
     """The whole way of a request: tokens, the provider's form, ``responder`` (a function from the body column to the reply column), and back."""
     sent = tokenise(df, policy=policy)

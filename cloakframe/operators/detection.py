@@ -27,8 +27,11 @@ def with_detections(df: DataFrame, text: str = "text", out: str = "detections",
 
 
 def exploded(df: DataFrame, *keys: str, detections: str = "detections") -> DataFrame:
-    """A row for each detection: keys, its place among those of the text, its fields."""
-    return df.select(*keys, F.posexplode(detections).alias("position", "d")).select(*keys, "position", "d.*")
+    """A row for each detection: keys, its place among those of the text, its fields.
+
+    posexplode_outer, since the optimiser puts a filter on the array below posexplode, and with it computes the detections again.
+    """
+    return df.select(*keys, F.posexplode_outer(detections).alias("position", "d")).where("d is not null").select(*keys, "position", "d.*")
 
 
 def redacted(df: DataFrame, policy: Policy | None = None, text: str = "text", out: str = "redacted", detectors: list | None = None, anchored: bool = True) -> DataFrame:

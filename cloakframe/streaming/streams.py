@@ -61,11 +61,11 @@ def fold(rows: Iterator[dict], buffer: ChunkRedactor) -> Iterator[tuple[int, str
 
 
 class _Processor(StatefulProcessor):
-    def __init__(self, policy: Policy, detectors: list, holdback: int):
-        self.policy, self.detectors, self.holdback = policy, detectors, holdback
+    def __init__(self, policy: Policy, detectors: list, holdback: int, ttl_seconds: int | None):
+        self.policy, self.detectors, self.holdback, self.ttl = policy, detectors, holdback, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "held string")
+        self.state = handle.getValueState("held", "held string", self.ttl and self.ttl * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get()[0] if self.state.exists() else ""
@@ -83,14 +83,15 @@ class _Processor(StatefulProcessor):
         pass
 
 
-def redact_stream(df: DataFrame, policy: Policy | None = None, detectors: list | None = None, holdback: int = 0) -> DataFrame:
+def redact_stream(df: DataFrame, policy: Policy | None = None, detectors: list | None = None, holdback: int = 0, ttl_seconds: int | None = None) -> DataFrame:
     """Redacted chunks of streams (stream_id, seq, chunk, is_end, error): a streaming DataFrame; the state is the text that waits.
 
     holdback: characters that are kept back besides, against values that white space splits across chunks.
+    ttl_seconds: text that waits longer for more of its stream is dropped, so that streams without an end keep no state.
     Needs the RocksDB state store. Chunks of a stream are taken by seq within a batch.
     """
     dets = kernel.built_in() if detectors is None else detectors
-    return df.groupBy("stream_id").transformWithStateInPandas(_Processor(policy or Policy(), dets, holdback), CHUNKS, "append", "None")
+    return df.groupBy("stream_id").transformWithStateInPandas(_Processor(policy or Policy(), dets, holdback, ttl_seconds), CHUNKS, "append", "ProcessingTime" if ttl_seconds else "None")
 
 
 def redact_chunks(df: DataFrame, policy: Policy | None = None, detectors: list | None = None, holdback: int = 0) -> DataFrame:

@@ -180,3 +180,63 @@ def test_chunk_stream(spark, tmp_path):
     q = streams.redact_stream(source).writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     check_chunks(spark.table("chunks").collect())
+
+
+def test_state_of_a_stream_without_an_end_expires(spark, tmp_path):
+    import time
+
+    src = tmp_path / "in"
+    src.mkdir()
+    row = {"stream_id": "s", "is_end": False, "error": None}
+    schema = "stream_id string, seq long, chunk string, is_end boolean, error string"
+    out = str(tmp_path / "out")
+
+    def run():
+        source = spark.readStream.schema(schema).json(str(src))
+        q = streams.redact_stream(source, ttl_seconds=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    (src / "a.json").write_text(json.dumps(row | {"seq": 0, "chunk": "left behind"}))
+    run()
+    time.sleep(2)
+    (src / "b.json").write_text(json.dumps(row | {"seq": 1, "chunk": "new ", "is_end": True}))
+    run()
+    got = spark.read.schema("stream_id string, seq long, chunk string, error string").parquet(out).orderBy("seq").collect()
+    assert [r.chunk for r in got] == ["left ", "new "]
+
+
+def test_detections_are_computed_once(spark):
+    from cloakframe.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    for name, times in (("q_resolve_overlaps", 3), ("q_email_spans", 1), ("q_metrics_rollup", 2)):
+        plan = catalogue.queries()[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == times, name
+    plan = catalogue.queries()["q_anchored_detect"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_providers_are_built_from_configuration(monkeypatch):
+    monkeypatch.setenv("SOME_KEY", "from-env")
+    keys, warnings = chat.build_providers({"openai": {"value": "k"}, "google": {"env": "SOME_KEY"}, "cohere": {"env": "NOT_SET"}, "nobody": {"value": "x"}})
+    assert keys == {"openai": "k", "google": "from-env"} and len(warnings) == 2
+    assert "cohere" in warnings[0] and "nobody" in warnings[1] and chat.build_providers({}) == ({}, [])
+
+
+def test_exchange(spark):
+    rows = [(1, None, "mail a@b.org"), (2, "GOOGLE", "mail c@d.org"), (3, "cohere", "x"), (4, "openai", None), (5, "google", "fails"), (6, "openai", "odd")]
+    df = spark.createDataFrame([(i, p, [("system", "be kind"), ("user", t)]) for i, p, t in rows], "id int, provider string, messages array<struct<role:string,content:string>>")
+    df = df.selectExpr("*", "'m' as model", "10 as max_tokens", "0.5D as temperature", "cast(null as double) as top_p", "false as stream")
+
+    def respond(provider, body):
+        gemini = F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":'), F.to_json(F.array(F.get_json_object(body, "$.contents[0].parts[0].text"))).substr(2, 1000), F.lit("}]}}]}"))
+        gemini = F.replace(gemini, F.lit(']}]}}]}'), F.lit('}]}}]}'))
+        return F.when(F.col("id") == 5, F.lit(None)).when(F.col("id") == 6, "not json").when(provider == "google", gemini).otherwise(chat.echo(body))
+
+    got = {r.id: r for r in chat.exchange(df, respond, ["openai", "google"]).collect()}
+    assert [got[i].status for i in range(1, 7)] == [200, 200, 404, 200, 502, 502]
+    assert [got[i].error_kind for i in range(1, 7)] == [None, None, None, None, "request_error", "parse_error"]
+    assert got[1].reply.choices[0].message.content == "mail a@b.org" and got[2].reply.choices[0].message.content == "mail c@d.org"
+    assert "a@b.org" not in got[1].body and "[[PII_0]]" in got[2].body and got[3].body is None and got[3].error == "Unknown provider: cohere"
+    counts = {(r.metric, r.provider, r.error): r.n for r in audit.provider_counters(chat.exchange(df, respond, ["openai", "google"])).collect()}
+    assert counts == {("requests", "openai", None): 3, ("requests", "google", None): 2, ("errors", "google", "request_error"): 1, ("errors", "openai", "parse_error"): 1}
