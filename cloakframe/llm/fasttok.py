@@ -54,7 +54,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 LONG = 256
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """64-bit hash of values[start:end] for each span; equal content gives equal hashes wherever it stands. Spans ascend."""
     out = np.empty(len(start), np.uint64)
     k = 0
@@ -251,7 +251,7 @@ class FastTokenizer:
         cp = np.frombuffer(text.encode("utf-32-le"), np.int32)
         return bool(self.sure[np.minimum(cp, _TOP)].all())
 
-    def groups(self, texts: list[str], chars: int = 1 << 21):
+    def groups(self, texts: list[str], chars: int = 1 << 19):
         """Indices of the sure texts in groups of bounded size, and those left to the library."""
         sure, rest, group, size = [], [], [], 0
         for i, t in enumerate(texts):

@@ -28,8 +28,8 @@ BLOCK = 1024
 HEAD = struct.Struct("<IBxHH")
 MAGIC = b"PFR2"
 FRONT = struct.Struct("<4sQQQ")
-#: A segment is closed when it has so many blocks (some 8 MB), and a file when it has so many segments.
-SEGMENT_BLOCKS, FILE_SEGMENTS = 4096, 16
+#: A segment is closed when it has so many blocks (some 2 MB), and a file when it has so many segments.
+SEGMENT_BLOCKS, FILE_SEGMENTS = 1024, 32
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -133,7 +133,8 @@ class Writer:
         """The documents added since the one before, if they fill a segment or are the last."""
         if not self.held or self.size < self.limit and not last:
             return None
-        blocks = encode_blocks(np.concatenate(self.held).astype(np.uint32), self.percentile) if self.size else []
+        ids, step = np.concatenate(self.held).astype(np.uint32), 128 * BLOCK
+        blocks = [b for i in range(0, len(ids), step) for b in encode_blocks(ids[i : i + step], self.percentile)]
         sizes = np.array([len(b) for b in blocks], np.int64)
         index = [(np.cumsum(sizes) - sizes).astype("<u8").tobytes(), np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(), np.array([d is None for d in self.doc_ids], np.uint8).tobytes(), np.array([len(x) for x in self.held], "<u8").tobytes()]
         total = FRONT.size + sum(map(len, index)) + int(sizes.sum())

@@ -79,7 +79,7 @@ def in_order(rows):
     return sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, 42 if x[1] is None else np.array([xxhash.xxh64_intdigest(x[1].encode(), seed=42)], np.uint64).view(np.int64)[0], x[1] or ""))
 
 
-@pytest.mark.parametrize("segment,files", [(4096, 16), (1, 1)])
+@pytest.mark.parametrize("segment,files", [(1024, 32), (1, 1)])
 def test_token_blocks(spark, docs, tmp_path, segment, files):
     path = str(tmp_path / "blocks")
     rows = [*ROWS, *[(None, f"one of many without a name {i} " * 40) for i in range(120)]]
