@@ -87,7 +87,8 @@ def redact_stream(df: DataFrame, policy: Policy | None = None, detectors: list |
     """Redacted chunks of streams (stream_id, seq, chunk, is_end, error): a streaming DataFrame; the state is the text that waits.
 
     holdback: characters that are kept back besides, against values that white space splits across chunks.
-    ttl_seconds: text that waits longer for more of its stream is dropped, so that streams without an end keep no state.
+    ttl_seconds: text that waits longer for more of its stream is dropped, so that streams without an end keep no state. Such a
+    query runs until it is stopped, also with the trigger that takes what is there.
     Needs the RocksDB state store. Chunks of a stream are taken by seq within a batch.
     """
     dets = kernel.built_in() if detectors is None else detectors

@@ -193,8 +193,11 @@ def test_state_of_a_stream_without_an_end_expires(spark, tmp_path):
 
     def run():
         source = spark.readStream.schema(schema).json(str(src))
-        q = streams.redact_stream(source, ttl_seconds=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = streams.redact_stream(source, ttl_seconds=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+        until = time.time() + 60
+        while time.time() < until and not any(p["numInputRows"] for p in q.recentProgress):
+            time.sleep(0.2)
+        q.stop()
 
     (src / "a.json").write_text(json.dumps(row | {"seq": 0, "chunk": "left behind"}))
     run()
