@@ -174,8 +174,8 @@ def set_rows(docs: DataFrame, k: int, doc_id: str, text: str, n_bands: int) -> D
 
 
 def row_key(doc_id: str, text: str):
-    """Where a row's text is found again: its doc_id, or a hash of the text where that is null."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
+    """Where a row's text is found again: a hash of both, so that rows of one doc_id with different texts don't meet."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 class Forest:
@@ -353,22 +353,27 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     rows = materialise(set_rows(docs, words, doc_id, text, bands(percent / 100, miss)), "rows")
     nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.min("n_shingles").alias("n"), F.min("low").alias("low"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")).withColumn("nid", F.xxhash64("node")), "nodes")
     family = materialise(components(pivot_edges(nodes)).select(F.col("node").alias("nid"), F.col("root").alias("family")), "family")
-    sizes = materialise(nodes.select("nid", "node", "n", "at", "low", "copies").join(bounded(family), "nid"), "families")
+    sizes = materialise(nodes.select("nid", "node", "n", "at", "low", "copies").join(family.hint("merge"), "nid"), "families")
     placed = materialise(place(sizes).select("node", "at", "family", "block", "nb", "copies"), "placed")
 
     def member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat doc_id and text meet in one task and give one set
         for b in batches:
             raw, off = text_bytes(b.column(1))
             want = b.column(0).to_pylist()
             for lo, hi in slices(off):
                 s, so = text_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 names = digests(s, so)
-                pick = [i for i in range(hi - lo) if names[i] is not None and names[i] == want[lo + i]]
+                pick = []
+                for i in range(hi - lo):
+                    if names[i] is not None and names[i] == want[lo + i] and names[i] not in seen:
+                        seen.add(names[i])
+                        pick.append(i)
                 rows = [b.column(c).take(pa.array([lo + i for i in pick], pa.int64())) for c in (0, 2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array([s[so[i] : so[i + 1]].tobytes() for i in pick], pa.binary())], names=["node", "family", "block", "nb", "copies", "set"])
 
-    # while the placed sets are few they are broadcast, so that texts that share no key with others aren't moved
-    texts = docs.select(row_key(doc_id, text).alias("at"), F.col(text).alias("text")).join(bounded(placed), "at")
+    # placed grows with the documents, so it is never broadcast: at every size the texts are exchanged once, and only the rows of placed are hashed
+    texts = docs.select(row_key(doc_id, text).alias("at"), F.col(text).alias("text")).join(placed.hint("shuffle_hash"), "at")
     homes = materialise(texts.select("node", "text", "family", "block", "nb", "copies").mapInArrow(member_sets, "node binary, family long, block int, nb int, copies long, set binary"), "homes")
     dealt = homes.select("node", "family", F.col("block").alias("bi"), F.col("block").alias("bj"), "block", "copies", "set")
     if not homes.where("nb > 1").isEmpty():
@@ -378,7 +383,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         names, kept = t.column("node").to_pylist(), {}
         bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
         blk, payload = t.column("block").to_pylist(), t.column("set").to_pylist()
-        for i, x in enumerate(names):  # a repeated row gives a node twice
+        for i, x in enumerate(names):  # where Spark splits a task of many repeated rows, each part gives their node
             kept.setdefault(x, i)
         pick = sorted(kept.values())
         links, counts = [], np.zeros(len(pick), np.int64)

@@ -88,6 +88,24 @@ def test_jaccard_counts_links(spark, monkeypatch, block):
     assert Counter(map(tuple, got.select("doc_id", "n_links").collect())) == want
 
 
+def test_one_doc_id_for_many_rows(spark, monkeypatch):
+    sizes = {}
+
+    def counting(df, tag, write=jaccard.materialise):
+        out = write(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counting)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join(f"x{j}" if i == j else w for i, w in enumerate(base))) for j in range(20)]
+    rows += [(7, rows[0][1])] * 30 + [(None, rows[1][1])] * 30 + [(7, f"other text {j} of that name") for j in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = jaccard.jaccard_groups(df, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_groups(rows, 4, 85))
+    assert sizes["homes"] == sizes["placed"] == 20  # each set is sent once, whatever rows share its doc_id or repeat it
+
+
 @pytest.mark.parametrize("similarity,percent", [(0.8, 80), (0.85, 85)])
 def test_pairs_at_the_threshold_share_a_key(similarity, percent):
     rng = np.random.default_rng(percent)
