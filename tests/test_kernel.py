@@ -61,6 +61,21 @@ ANCHORED = [
 ]
 
 
+@pytest.mark.parametrize("text,original", [
+    ("card 4328325728555127 " + "x" * 54 + "-", "4328325728555127"),  # the window of "-" begins within the number
+    ("-" + "x" * 54 + " 4328325728555127 z", "4328325728555127"),  # and ends within it
+    ("é" * 10 + " 4328325728555127 " + "x" * 54 + "-", "4328325728555127"),
+    ("a" * 80 + "@b.org", "a" * 80 + "@b.org"),
+])
+def test_windows_cut_no_match(text, original):
+    assert [f.original for f in K.detect(K.built_in(), text)] == [original] == [f.original for f in K.detect(K.built_in(), text, anchored=False)]
+
+
+def test_windows_are_a_gate():
+    det = K.Custom("code", r"\bX\d+\b", anchors=("key",))
+    assert [f.start for f in K.detect([det], "X1" + " " * 80 + "X2 key X3" + " " * 80 + "X4")] == [82, 89]
+
+
 @pytest.mark.parametrize("text,anchored,full", ANCHORED)
 def test_anchors(text, anchored, full):
     nine = [d for d in K.built_in() if d.pii_type != "phone_number"]
