@@ -71,6 +71,18 @@ def test_windows_cut_no_match(text, original):
     assert [f.original for f in K.detect(K.built_in(), text)] == [original] == [f.original for f in K.detect(K.built_in(), text, anchored=False)]
 
 
+def test_redaction_covers_a_number_that_a_window_cuts():
+    text = "card 4328325728555127 " + "x" * 54 + "-"
+    assert K.redact(K.built_in(), Policy(), text).text == text.replace("432832572855", K.BLOCK * 12)
+    assert K.TokenRedactor().redact(text, K.detect(K.built_in(), text)) == text.replace("4328325728555127", "[[CC_0]]")
+
+
+def test_a_value_of_two_types_is_named_by_its_last_match():
+    found = K.detect(K.built_in(), "Qui 208.98.142.209 du éch. 208.98.142.209 De")
+    assert [f.pii_type for f in found] == ["phone_number", "ip_address_v4"]
+    assert K.TokenRedactor().redact("Qui 208.98.142.209 du éch. 208.98.142.209 De", found) == "Qui [[PII_0]] du éch. [[PII_0]] De"
+
+
 def test_windows_are_a_gate():
     det = K.Custom("code", r"\bX\d+\b", anchors=("key",))
     assert [f.start for f in K.detect([det], "X1" + " " * 80 + "X2 key X3" + " " * 80 + "X4")] == [82, 89]
