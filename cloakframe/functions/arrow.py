@@ -57,8 +57,8 @@ def anchor_windows(col: Column, detectors: list | None = None) -> Column:
     return _map(col, one, _WINDOWS, pa.list_(pa.struct([("detector", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
 
-def redact(col: Column, policy: Policy | None = None, detectors: list | None = None, anchored: bool = True, overlap: str = "repeat") -> Column:
-    """The redacted text; null stays null."""
+def redact(col: Column, policy: Policy | None = None, detectors: list | None = None, anchored: bool | str = True, overlap: str = "repeat") -> Column:
+    """The redacted text; null stays null. anchored: as kernel.detect() has it."""
     p, dets = policy or Policy(), kernel.built_in() if detectors is None else detectors
     return _map(col, lambda t: None if t is None else kernel.redact(dets, p, t, anchored, overlap).text, T.StringType(), pa.string())
 

@@ -516,7 +516,8 @@ MASKED = f"""case pii_type when 'email' then {EMAIL_MASK} when 'ip_address_v4' t
   r as (select doc_id, string_agg(concat(decode(array_slice(encode(text), before + 1, start)), masked), '' order by start) as head, max("end") as last from s join documents using (doc_id) group by doc_id)
   select doc_id, case when head is null then text else concat(head, decode(array_slice(encode(text), last + 1, strlen(text)))) end as redacted from documents left join r using (doc_id)""")
 def q_redact_all_types(spark, d):
-    return docs(spark, d).select("doc_id", arrow.redact(F.col("text")).alias("redacted"))
+    """All types; words around a match are asked for where they tell what it is, no blank or sign near a number."""
+    return docs(spark, d).select("doc_id", arrow.redact(F.col("text"), anchored=kernel.WORDS).alias("redacted"))
 
 
 @query()

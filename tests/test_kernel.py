@@ -83,6 +83,16 @@ def test_a_value_of_two_types_is_named_by_its_last_match():
     assert K.TokenRedactor().redact("Qui 208.98.142.209 du éch. 208.98.142.209 De", found) == "Qui [[PII_0]] du éch. [[PII_0]] De"
 
 
+@pytest.mark.parametrize("text,got", [
+    ("4328325728555127", ["4328325728555127"]),
+    ("The\n4328325728555127.\n" + "x" * 70 + " y", ["4328325728555127"]),
+    ("(202) 555-1974 4203211868239051 reo st", []),  # a street type without a word of addresses near it
+    ("road (202) 555-1974 4203211868239051 reo st", ["1974 4203211868239051 reo st"]),
+])
+def test_gate_of_words(text, got):
+    assert [f.original for f in K.detect(K.built_in(), text, anchored=K.WORDS)] == got
+
+
 def test_windows_are_a_gate():
     det = K.Custom("code", r"\bX\d+\b", anchors=("key",))
     assert [f.start for f in K.detect([det], "X1" + " " * 80 + "X2 key X3" + " " * 80 + "X4")] == [82, 89]

@@ -219,6 +219,21 @@ def test_detections_are_computed_once(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_cards_far_from_blanks_are_redacted_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from cloakframe.plans import catalogue
+
+    texts = ["4328325728555127", "4328325728555128", "The\n4328325728555127.\n" + "x" * 70 + " y 1.2.3.4", "é\n4328325728555127\na.b@c.org\n1.2.3.4\n+1 (839) 555-3421", "+1 (867) 555-1974 4203211868239051 reo st", "", None]
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").coalesce(1).write.parquet(at)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}/*.parquet'")
+    got = sorted(tuple(r) for r in catalogue.queries()["q_redact_all_types"](spark, str(tmp_path)).select("doc_id", "redacted").collect())
+    assert got == sorted(con.sql(catalogue.oracle_sql()["q_redact_all_types"]).project("doc_id, redacted").fetchall())
+    assert got[0][1] == "████████████5127"
+
+
 def test_providers_are_built_from_configuration(monkeypatch):
     monkeypatch.setenv("SOME_KEY", "from-env")
     keys, warnings = chat.build_providers({"openai": {"value": "k"}, "google": {"env": "SOME_KEY"}, "cohere": {"env": "NOT_SET"}, "nobody": {"value": "x"}})
